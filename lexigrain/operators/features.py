@@ -21,18 +21,17 @@ from lexigrain.session import persisted
 def filter_tokens(
     df: DataFrame, token_array: Column, kept: DataFrame, doc_id: str = "doc_id", name: str = "tokens"
 ) -> DataFrame:
-    """Keep the tokens listed in ``kept`` (column ``token``), in their order.
+    """Keep the tokens listed in ``kept`` (columns ``token``, ``n``), in their order.
 
-    ``kept`` is the union of top-token lists, at most labels x n rows; the size is checked before it
-    is broadcast. Documents left without a token stay, with an empty array.
+    ``kept`` holds top-token lists, so it has at most labels x n rows. Documents left without a
+    token stay, with an empty array.
     """
-    distinct = persisted(kept.select("token").distinct(), "kept")
-    if distinct.count() > BROADCAST_ROWS:
-        raise ValueError("token list too long; lower n, or join the token rows by token")
-    marked = distinct.withColumn("_kept", F.lit(True))
+    listed = kept.groupBy("token").agg(F.sum("n").alias("_kept"))
     rows = df.select(doc_id, F.posexplode_outer(token_array).alias("pos", "token"))
-    joined = rows.join(F.broadcast(marked), "token", "left")
-    pair = F.when(F.col("_kept"), F.struct("pos", "token"))
+    joined = lookup_join(
+        rows, persisted(listed, "kept"), ["token"], "_kept", [doc_id, "pos"], how="left"
+    )
+    pair = F.when(F.col("_kept").isNotNull(), F.struct("pos", "token"))
     regrouped = joined.groupBy(doc_id).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
     return regrouped.select(doc_id, F.transform("_pairs", lambda p: p["token"]).alias(name))
 

@@ -16,22 +16,23 @@ def lookup_join(
     lookup: DataFrame,
     on: Sequence[str],
     size: str,
-    spread_by: Sequence[str],
+    spread_by: Sequence[str] | None = None,
+    how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Inner join of ``rows`` with one ``lookup`` row per key.
+    """Inner or left join of ``rows`` with one ``lookup`` row per key.
 
     ``size`` is the lookup column that says how many rows carry the key. ``lookup`` should be a
     stored table: it is counted here and broadcast only when it has at most ``broadcast_rows``
     rows. A larger one is shuffled, and keys with more than 1/``hot_keys`` of all rows are split
     over several tasks. At most ``hot_keys`` keys can be that frequent, which bounds the list of
-    hot keys that is broadcast. The salt is a hash of ``spread_by``, so a recomputed task assigns
-    the same one.
+    hot keys that is broadcast. The salt is a hash of ``spread_by`` (the whole row by default), so
+    a recomputed task assigns the same one.
     """
     on = list(on)
     if lookup.count() <= broadcast_rows:
-        return rows.join(F.broadcast(lookup), on)
+        return rows.join(F.broadcast(lookup), on, how)
 
     total = lookup.agg(F.sum(size)).first()[0] or 0
     part = max(total / hot_keys, 1.0)
@@ -41,7 +42,7 @@ def lookup_join(
     parts: Column = F.coalesce(F.col("_parts"), F.lit(1))
     salted_rows = (
         rows.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), parts).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*(spread_by or rows.columns)), parts).cast("int"))
         .drop("_parts")
     )
     salted_lookup = (
@@ -49,4 +50,4 @@ def lookup_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )
-    return salted_rows.join(salted_lookup, [*on, "_salt"]).drop("_salt")
+    return salted_rows.join(salted_lookup, [*on, "_salt"], how).drop("_salt")

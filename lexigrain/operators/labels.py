@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrain.operators.joins import lookup_join
+from lexigrain.session import persisted
+
 
 def with_default(column: Column, default: str = "Unknown") -> Column:
     return F.coalesce(column, F.lit(default))
@@ -59,22 +62,26 @@ def code_by_map(
 
 
 def category_codes(df: DataFrame, label: str, name: str = "code") -> DataFrame:
-    """The table of labels with their codes in lexicographic order.
+    """The table of labels with their codes in lexicographic order and their number of rows.
 
     Labels are classes, so the table has one row per class; it is fitted on the training rows and
     used for every other split.
     """
-    labels = df.filter(F.col(label).isNotNull()).select(label).distinct()
-    return labels.withColumn(name, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
+    labels = df.filter(F.col(label).isNotNull()).groupBy(label).agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+    code = (F.row_number().over(Window.orderBy(label)) - 1).cast("int")
+    return persisted(labels.withColumn(name, code), "categories")
 
 
 def encode(df: DataFrame, categories: DataFrame, label: str, name: str = "code") -> DataFrame:
     """Codes for the labels of ``df``; labels outside the table become -1."""
-    return df.join(categories, label, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
+    coded = lookup_join(df, categories, [label], "n_rows", how="left").drop("n_rows")
+    return coded.withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
 def decode(df: DataFrame, categories: DataFrame, name: str = "code") -> DataFrame:
-    return df.join(categories, name, "left")
+    return lookup_join(df, categories, [name], "n_rows", how="left").drop("n_rows")
 
 
 def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:

@@ -60,7 +60,7 @@ def ordinal(
         *keys,
         "_bucket",
         (F.sum("_n").over(earlier) - F.col("_n")).alias("_shift"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_group_size"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(by, *then)
     ranked = (
@@ -69,8 +69,8 @@ def ordinal(
         .withColumn(name, (F.col("_inside") + F.col("_shift")).cast("bigint"))
     )
     if size_name:
-        ranked = ranked.withColumn(size_name, F.col("_size").cast("bigint"))
-    return ranked.drop("_bucket", "_inside", "_shift", "_size")
+        ranked = ranked.withColumn(size_name, F.col("_group_size").cast("bigint"))
+    return ranked.drop("_bucket", "_inside", "_shift", "_group_size")
 
 
 def top_per_group(

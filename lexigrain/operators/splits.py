@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.functions.numeric import poisson_one, uniform
+from lexigrain.operators.joins import lookup_join
 from lexigrain.operators.labels import category_codes
 from lexigrain.operators.ranking import ordinal
 
@@ -90,9 +91,9 @@ def random_labels(
 ) -> DataFrame:
     """A uniformly drawn label per row. The label table has one row per class."""
     classes = category_codes(df, label, "_code").withColumnRenamed(label, name)
-    n_classes = classes.agg(F.count(F.lit(1))).scalar()
-    code = F.floor(uniform(F.col(key), seed) * n_classes).cast("int")
-    return df.withColumn("_code", code).join(classes, "_code").drop("_code")
+    code = F.floor(uniform(F.col(key), seed) * F.lit(classes.count())).cast("int")
+    drawn = df.withColumn("_code", code)
+    return lookup_join(drawn, classes, ["_code"], "n_rows").drop("_code", "n_rows")
 
 
 def stratified_folds(
