@@ -16,13 +16,12 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def entropy(counts: Column) -> Column:
-    """Entropy in bits of an array of class counts; empty classes add nothing."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(
-        counts,
-        F.lit(0.0),
-        lambda a, x: a - F.when((x > 0) & (total > 0), x / total * F.log2(x / total)).otherwise(0.0),
+def entropy(counts: str) -> Column:
+    """Entropy in bits of an array column of class counts; empty classes add nothing."""
+    total = f"aggregate({counts}, 0D, (a, x) -> a + x)"
+    return F.expr(
+        f"aggregate({counts}, 0D, (a, x) -> a - "
+        f"CASE WHEN x > 0 THEN x / {total} * log2(x / {total}) ELSE 0D END)"
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrain.session import persisted
+
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 1_000
 
@@ -18,22 +20,25 @@ def lookup_join(
     size: str,
     spread_by: Sequence[str] | None = None,
     how: str = "inner",
+    lookup_rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Inner or left join of ``rows`` with one ``lookup`` row per key.
 
-    ``size`` is the lookup column that says how many rows carry the key. ``lookup`` should be a
-    stored table: it is counted here and broadcast only when it has at most ``broadcast_rows``
-    rows. A larger one is shuffled, and keys with more than 1/``hot_keys`` of all rows are split
+    ``size`` is the lookup column that says how many rows carry the key. ``lookup`` is broadcast
+    only when it has at most ``broadcast_rows`` rows: it should be a stored table that is counted
+    here, or come with an upper bound ``lookup_rows``. A larger one is shuffled, and keys with more than 1/``hot_keys`` of all rows are split
     over several tasks. At most ``hot_keys`` keys can be that frequent, which bounds the list of
     hot keys that is broadcast. The salt is a hash of ``spread_by`` (the whole row by default), so
     a recomputed task assigns the same one.
     """
     on = list(on)
-    if lookup.count() <= broadcast_rows:
+    if (lookup.count() if lookup_rows is None else lookup_rows) <= broadcast_rows:
         return rows.join(F.broadcast(lookup), on, how)
 
+    if lookup_rows is not None:
+        lookup = persisted(lookup, "lookup")
     total = lookup.agg(F.sum(size)).first()[0] or 0
     part = max(total / hot_keys, 1.0)
     hot = lookup.filter(F.col(size) > part).select(
