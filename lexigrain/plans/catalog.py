@@ -4,6 +4,7 @@ from lexigrain.plans import (  # noqa: F401
     evaluation_queries,
     feature_queries,
     label_queries,
+    model_queries,
     stat_queries,
     text_queries,
     tree_queries,
