@@ -18,10 +18,10 @@ def argmax(values: Column) -> Column:
 
 def entropy(counts: str) -> Column:
     """Entropy in bits of an array column of class counts; empty classes add nothing."""
-    total = f"aggregate({counts}, 0D, (a, x) -> a + x)"
+    total = f"aggregate({counts}, 0D, (acc_, item_) -> acc_ + item_)"
     return F.expr(
-        f"aggregate({counts}, 0D, (a, x) -> a - "
-        f"CASE WHEN x > 0 THEN x / {total} * log2(x / {total}) ELSE 0D END)"
+        f"aggregate({counts}, 0D, (acc_, item_) -> acc_ - "
+        f"CASE WHEN item_ > 0 THEN item_ / {total} * log2(item_ / {total}) ELSE 0D END)"
     )
 
 

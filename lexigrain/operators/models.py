@@ -131,11 +131,11 @@ def random_forest(trees: int = 200, max_depth: int = 3, seed: int = 0, **setting
 
 
 def linear_svm(
-    features: str = "features", label: str = "label", parallelism: int = 4
+    features: str = "features", label: str = "label", parallelism: int = 4, max_iter: int = 50
 ) -> Estimator:
     """One linear machine per class on standardised features, several trained side by side."""
     scale = StandardScaler(inputCol=features, outputCol="scaled", withMean=True)
-    machine = LinearSVC(featuresCol="scaled", labelCol=label, tol=1e-4)
+    machine = LinearSVC(featuresCol="scaled", labelCol=label, tol=1e-4, maxIter=max_iter)
     per_class = OneVsRest(
         classifier=machine, featuresCol="scaled", labelCol=label, parallelism=parallelism
     )

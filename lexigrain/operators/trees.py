@@ -36,11 +36,11 @@ def class_counts(label: str, weight: str, n_classes: int) -> Column:
 
 
 def _size(counts: str) -> Column:
-    return F.expr(f"aggregate({counts}, 0L, (a, x) -> a + x)")
+    return F.expr(f"aggregate({counts}, 0L, (acc_, item_) -> acc_ + item_)")
 
 
 def class_shares(counts: str) -> Column:
-    return F.expr(f"transform({counts}, x -> x / aggregate({counts}, 0D, (a, y) -> a + y))")
+    return F.expr(f"transform({counts}, item_ -> item_ / aggregate({counts}, 0D, (acc_, other_) -> acc_ + other_))")
 
 
 def present_class_shares(df: DataFrame, group: str, label: str) -> DataFrame:

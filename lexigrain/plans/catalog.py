@@ -1,6 +1,7 @@
 """All queries; importing the modules registers them."""
 
 from lexigrain.plans import (  # noqa: F401
+    baseline,
     evaluation_queries,
     feature_queries,
     label_queries,
