@@ -33,14 +33,19 @@ class NaiveBayes:
         """
         counted = doc_terms(df, token_array, doc_id)
         known = lookup_join(counted, self.terms, ["term"], "total", [doc_id])
-        entries = known.select(doc_id, "n", F.explode("logs").alias("_label", "_log"))
+        # the entry without a label counts the known tokens, so one pass gives sums and length
+        length = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(1.0).alias("value")))
+        entries = known.select(
+            doc_id, "n", F.inline(F.concat(F.map_entries("logs"), length)).alias("_label", "_log")
+        )
         per_label = entries.groupBy(doc_id, "_label").agg(
             F.sum(F.col("n") * F.col("_log")).alias("_sum")
         )
+        labelled = F.when(F.col("_label").isNotNull(), F.struct("_label", "_sum"))
         sums = per_label.groupBy(doc_id).agg(
-            F.map_from_entries(F.collect_list(F.struct("_label", "_sum"))).alias("_sums")
+            F.map_from_entries(F.collect_list(labelled)).alias("_sums"),
+            F.max(F.when(F.col("_label").isNull(), F.col("_sum"))).alias("_len"),
         )
-        lengths = known.groupBy(doc_id).agg(F.sum("n").alias("_len"))
         # one entry per class
         classes = self.classes.agg(
             F.sort_array(F.collect_list(F.struct("label", "log_prior", "log_total")))
@@ -48,7 +53,6 @@ class NaiveBayes:
         everyone = (
             df.select(doc_id)
             .join(sums, doc_id, "left")
-            .join(lengths, doc_id, "left")
             .withColumn("_classes", classes)
         )
         scored = F.transform(
@@ -57,7 +61,7 @@ class NaiveBayes:
                 F.round(
                     c["log_prior"]
                     + F.coalesce(F.element_at("_sums", c["label"]), F.lit(0.0))
-                    - F.coalesce("_len", F.lit(0)) * c["log_total"],
+                    - F.coalesce("_len", F.lit(0.0)) * c["log_total"],
                     6,
                 ).alias("score"),
                 c["label"].alias("label"),
@@ -72,9 +76,10 @@ class NaiveBayes:
 
 
 def fit_naive_bayes(df: DataFrame, label: str, token_array: Column) -> NaiveBayes:
-    """Laplace-smoothed model, stored as two tables."""
+    """Laplace-smoothed model, stored as two tables; labels are held as strings."""
     counts = persisted(label_term_counts(df, label, token_array), "label_terms")
-    logs = F.map_from_entries(F.collect_list(F.struct(F.col(label), F.log(F.col("c") + 1.0))))
+    named = F.struct(F.col(label).cast("string"), F.log(F.col("c") + 1.0))
+    logs = F.map_from_entries(F.collect_list(named))
     # a term has at most one entry per class
     terms = counts.groupBy("term").agg(logs.alias("logs"), F.sum("c").alias("total"))
     vocabulary = counts.groupBy("term").agg(F.lit(1)).agg(F.count(F.lit(1))).scalar()
@@ -82,7 +87,7 @@ def fit_naive_bayes(df: DataFrame, label: str, token_array: Column) -> NaiveBaye
     docs = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
     total_docs = df.agg(F.count(F.lit(1))).scalar()
     classes = docs.join(tokens, label, "left").select(
-        F.col(label).alias("label"),
+        F.col(label).cast("string").alias("label"),
         F.log(F.col("n_docs") / total_docs).alias("log_prior"),
         F.log(F.coalesce("n_tokens", F.lit(0)) + vocabulary).alias("log_total"),
     )

@@ -86,10 +86,14 @@ def tfidf(
     idf: str = "collection",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """Weight of every term in every document: term frequency, times IDF unless told otherwise."""
+    """Weight of every term in every document: term frequency, times IDF unless told otherwise.
+
+    Counted terms are stored once, since tokenising the texts twice costs more.
+    """
     terms = term_frequencies(doc_terms(df, token_array, doc_id))
     if weighting == "tf":
         return terms.select(doc_id, "term", F.col("tf").alias("weight"))
+    terms = persisted(terms, "terms")
     stats = term_statistics(terms).withColumn("idf", _idf(idf, document_count(df)))
     stats = persisted(stats.select("term", "df", "idf"), "idf")
     joined = lookup_join(terms, stats, ["term"], "df", [doc_id])

@@ -69,14 +69,13 @@ def bootstrap(df: DataFrame, key: str, trees: int, seed: int, name: str = "w") -
     Draw number d of a tree picks the row at place floor(u * n) in key order. Draws are counted
     before they meet the rows, so a tree never moves more than one record per distinct row.
     """
-    ranked = ordinal(df, key, name="_rn", size_name="_size")
-    draws = _per_tree(ranked.select("_rn", "_size"), trees)
+    n = df.count()
+    ranked = ordinal(df, key, name="_rn")
+    draws = _per_tree(df.sparkSession.range(1, n + 1).withColumnRenamed("id", "_rn"), trees)
     u = uniform(F.concat_ws(":", "tree_id", "_rn"), seed)
-    picks = draws.select(
-        "tree_id", (F.floor(u * F.col("_size")) + 1).cast("bigint").alias("_rn")
-    )
+    picks = draws.select("tree_id", (F.floor(u * F.lit(n)) + 1).cast("bigint").alias("_rn"))
     counted = picks.groupBy("_rn", "tree_id").agg(F.count(F.lit(1)).alias(name))
-    return ranked.drop("_size").join(counted, "_rn").drop("_rn")
+    return ranked.join(counted, "_rn").drop("_rn")
 
 
 def poisson_bootstrap(df: DataFrame, key: str, trees: int, seed: int, name: str = "w") -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions import text
 from lexigrain.operators import splits
-from lexigrain.operators.features import doc_terms
+from lexigrain.operators.features import doc_terms, sentiment_by_lexicon
+from lexigrain.operators.labels import category_codes
+from lexigrain.operators.vocab import top_tokens
 from lexigrain.plans import sql
 from lexigrain.plans.registry import query
-from lexigrain.session import colocate, widen
+from lexigrain.session import colocate, persisted, widen
 from lexigrain.sources import read_table
 
 
@@ -156,9 +158,6 @@ def c15_pad_batches(spark: SparkSession, folder: str) -> DataFrame:
 )
 def c16_topic_names(spark: SparkSession, folder: str) -> DataFrame:
     """Display names from the ten strongest words; languages stand in for topics."""
-    from lexigrain.operators.labels import category_codes
-    from lexigrain.operators.vocab import top_tokens
-
     docs = widen(read_table(spark, folder, "documents").select("doc_id", "lang", "text"))
     top = top_tokens(docs, "lang", text.clean_tokens(F.col("text")), 10)
     ranked = F.array_sort(F.collect_list(F.struct("rk", "token")))
@@ -215,9 +214,6 @@ def rated_words(spark: SparkSession, folder: str) -> DataFrame:
         FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id"""
 )
 def c18_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    from lexigrain.operators.features import sentiment_by_lexicon
-    from lexigrain.session import persisted
-
     docs = colocate(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     lexicon = persisted(rated_words(spark, folder), "lexicon")
     return sentiment_by_lexicon(docs, text.clean_tokens(F.col("text")), lexicon)
