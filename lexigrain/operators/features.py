@@ -39,12 +39,16 @@ def filter_tokens(
 def doc_terms(df: DataFrame, token_array: Column, doc_id: str = "doc_id") -> DataFrame:
     """Occurrences of each term per document, with the document length.
 
-    The length is read off the array, so no second grouping is needed. Empty documents give no rows.
+    The length is read off the array, so no second grouping is needed; it is taken before the array
+    is exploded, else every token row would carry the whole array. Empty documents give no rows:
+    they are dropped by the missing term, because a plain ``explode`` lets Catalyst infer a filter
+    on the array, which would clean every text once more below the exchange.
     """
-    sized = df.select(doc_id, token_array.alias("_tokens"))
-    exploded = sized.select(
-        doc_id, F.size("_tokens").cast("bigint").alias("doc_len"), F.explode("_tokens").alias("term")
+    sized = df.select(doc_id, token_array.alias("_tokens")).select(
+        doc_id, F.size("_tokens").cast("bigint").alias("doc_len"), "_tokens"
     )
+    exploded = sized.select(doc_id, "doc_len", F.explode_outer("_tokens").alias("term"))
+    exploded = exploded.filter(F.col("term").isNotNull())
     return exploded.groupBy(doc_id, "doc_len", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
