@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions.numeric import argmax
-from lexigrain.operators.features import doc_terms, filter_tokens, fit_features, as_vectors
+from lexigrain.operators.features import as_vectors, doc_terms, filter_tokens, fit_features
 from lexigrain.operators.joins import lookup_join
 from lexigrain.operators.vocab import top_tokens
 from lexigrain.session import persisted
@@ -283,7 +283,3 @@ def grid_search(
 
 
 GRID_NAMES = ["top_tokens", "top_features", "components", "max_depth", "trees"]
-
-
-def as_pipeline_model(model: Model) -> PipelineModel:
-    return model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,7 +117,3 @@ def batches(df: DataFrame, key: str, size: int, name: str = "batch") -> DataFram
     """Number consecutive rows in key order into batches of ``size``."""
     ranked = ordinal(df, key, name="_rn")
     return ranked.withColumn(name, F.floor((F.col("_rn") - 1) / size).cast("bigint")).drop("_rn")
-
-
-def training_part(df: DataFrame, split: str = "split", names: Sequence[str] = ("train",)) -> DataFrame:
-    return df.filter(F.col(split).isin(*names))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -25,6 +26,11 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g")
     return spark
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lexigrain-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which every executor can reach.
 
@@ -35,8 +41,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="lexigrain-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -13,6 +13,7 @@ from lexigrain.functions import text
 from lexigrain.functions.numeric import entropy
 from lexigrain.operators import bayes, evaluate, features, labels, models, scoring, splits
 from lexigrain.plans.model_queries import letter_scorer
+from lexigrain.session import shared_path
 
 FOLDER = "/root/testdata/sf0.001"
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -150,6 +151,24 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).first().f1 == 0.5
 
 
+class Unset:
+    """A session without the checkpoint setting."""
+
+    def __init__(self, master):
+        self.conf = self
+        self.sparkContext = self
+        self.master = master
+
+    def get(self, key, default=None):
+        return default
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    assert shared_path(Unset("local[2]"), "x") != shared_path(Unset("local[2]"), "x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(Unset("yarn"), "x")
+
+
 def test_saved_trees(spark, tmp_path):
     from lexigrain.operators import trees
 
