@@ -2,6 +2,7 @@
 
 from lexigrain.llm import (  # noqa: F401
     mixing,
+    packing,
 )
 from lexigrain.llm.common import CHECKS, QUERIES
 

@@ -49,12 +49,20 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The named columns, over at least as many tasks as the cluster has cores.
+#: Rows of an Arrow batch of whole texts; Spark's 10,000 would hold a gigabyte of long ones.
+TEXTS_PER_BATCH = 1_000
+
+
+def spread(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
+    """The given columns, over at least as many tasks as the cluster has cores.
 
     A table in one row group is read by one task. Its rows are dealt out before the costly work;
-    a scan with enough splits is left alone, so large tables are not shuffled.
+    a scan with enough splits is left alone, so large tables are not shuffled. As whole texts go to
+    Python from here, the session's Arrow batches are bounded to ``TEXTS_PER_BATCH`` rows.
     """
     narrow = df.select(*columns)
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXTS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+    cores = spark.sparkContext.defaultParallelism
     return narrow.repartition(cores) if narrow.rdd.getNumPartitions() < cores else narrow
