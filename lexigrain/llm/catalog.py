@@ -3,6 +3,7 @@
 from lexigrain.llm import (  # noqa: F401
     mixing,
     packing,
+    records,
 )
 from lexigrain.llm.common import CHECKS, QUERIES
 
