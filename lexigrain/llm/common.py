@@ -53,16 +53,29 @@ def fold(doc_id: Column, folds: int) -> Column:
 TEXTS_PER_BATCH = 1_000
 
 
-def spread(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
-    """The given columns, over at least as many tasks as the cluster has cores.
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, as whole texts go to Python from here."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXTS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+
+
+def spread(scan: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
+    """The given columns of a scan, over at least as many tasks as the cluster has cores.
 
     A table in one row group is read by one task. Its rows are dealt out before the costly work;
-    a scan with enough splits is left alone, so large tables are not shuffled. As whole texts go to
-    Python from here, the session's Arrow batches are bounded to ``TEXTS_PER_BATCH`` rows.
+    a scan with enough splits is left alone, so large tables are not shuffled. Only for plans
+    without an exchange: asking for the number of tasks would run one.
     """
-    narrow = df.select(*columns)
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXTS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
-    cores = spark.sparkContext.defaultParallelism
+    narrow = scan.select(*columns)
+    bound_batches(scan.sparkSession)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
     return narrow.repartition(cores) if narrow.rdd.getNumPartitions() < cores else narrow
+
+
+def within(df: DataFrame, key: Column, rows: int, seed: int = 7) -> DataFrame:
+    """About ``rows`` rows drawn by a hash of ``key``, all of them if there are no more."""
+    n = df.count()
+    if n <= rows:
+        return df
+    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30))
+    return df.filter(draw < int(rows / n * (1 << 30)))

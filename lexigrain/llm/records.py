@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import query, spread, table
+from lexigrain.llm.common import bound_batches, query, table
 from lexigrain.llm.tokens import encoder, tokenizer_path
 from lexigrain.session import persisted, shared_path, shuffle_width
 
@@ -210,7 +210,8 @@ def write_records(
     ranged = rows.repartitionByRange(
         shuffle_width(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     ).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return persisted(spread(ranged, ["doc_id", "text"]).mapInPandas(written, INDEX), "index")
+    bound_batches(spark)
+    return persisted(ranged.mapInPandas(written, INDEX), "index")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:

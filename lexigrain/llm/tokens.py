@@ -9,18 +9,24 @@ import re
 import numpy as np
 
 #: White space of Unicode, at which both pre-tokenizers always part. (Fixed values.)
-BLANK = "\t-\r \x85\xa0  -     　"
-UNIT = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+BLANK = (
+    "\\t-\\r \\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+)
+#: Letters that no normalizer joins with a sign after them, and signs that always end a word.
+LETTER, SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:&$*#%"
+UNIT = re.compile(
+    rf" ?[{LETTER}]+(?=[{BLANK}{SIGN}]|\Z)| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+)
 #: Stretches kept in a worker's cache, and the longest one that is worth keeping.
-CACHE_UNITS, CACHE_CHARS = 400_000, 48
+CACHE_UNITS, CACHE_CHARS = 600_000, 48
 
 
 class Encoder:
     """Ids of a tokenizer file as little-endian unsigned 32-bit bytes.
 
     A byte-level or word tokenizer never joins what white space parts, where a stretch keeps the
-    one blank before it. Most stretches of a corpus recur, so each is encoded once and looked up
-    afterwards. Texts that contain the string of a special token are encoded whole, since the
+    one blank before it, nor letters and the sign after them. Most stretches of a corpus recur, so
+    each is encoded once and looked up afterwards. Texts that contain the string of a special token are encoded whole, since the
     tokenizer parts them there first. The cache is emptied when it is full.
     """
 
