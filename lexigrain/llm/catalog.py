@@ -4,6 +4,7 @@ from lexigrain.llm import (  # noqa: F401
     langid,
     mixing,
     packing,
+    quality,
     records,
 )
 from lexigrain.llm.common import CHECKS, QUERIES
