@@ -6,6 +6,7 @@ from lexigrain.llm import (  # noqa: F401
     packing,
     quality,
     records,
+    simhash,
 )
 from lexigrain.llm.common import CHECKS, QUERIES
 
