@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -233,6 +233,19 @@ class Labeller:
         return pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
 
 
+def language_of(spark: SparkSession, model: Model, switch: float = SWITCH) -> Callable:
+    """A column function from text to the struct ``lang_pred, score, spans``."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(f"lang_pred string, score double, spans {SPANS}")
+    def language(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(shared.value, switch)
+        for batch in texts:
+            yield labeller.label(batch)
+
+    return language
+
+
 def identify(
     docs: DataFrame,
     model: Model,
@@ -249,18 +262,11 @@ def identify(
     Null texts and texts without a letter are ``und`` with score 0, as are all texts where nothing
     was learned. Letters of a script that no learned language uses count for nothing. Repeated rows
     get the same answer each; a null id stays null. One pass, no shuffle; a worker's memory of
-    scored words is bounded.
+    scored words is bounded. Only the two named columns are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def label(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(shared.value, switch)
-        for batch in batches:
-            ids = batch["doc_id"].astype("Int64").reset_index(drop=True)
-            yield pd.concat([ids, labeller.label(batch["text"])], axis=1)
-
-    rows = spread(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")])
-    return rows.mapInPandas(label, f"doc_id long, lang_pred string, score double, spans {SPANS}")
+    language = language_of(docs.sparkSession, model, switch)
+    rows = spread(docs, [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")])
+    return rows.select("doc_id", language("text").alias("found")).select("doc_id", "found.*")
 
 
 def learn(docs: DataFrame) -> Model:

@@ -59,7 +59,7 @@ def source_targets(
     )
 
 
-def mix(
+def source_cuts(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -69,19 +69,15 @@ def mix(
     seed: str = SEED,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """How many words of each document the mix takes, repeated epochs counted.
+    """What the mix takes of each source, one row per source as a stored table.
 
-    Returns ``doc_id, source, size, source_size, target, taken``, one row per input row. A source
-    takes its documents in the order of a hash of the id: whole epochs first, then documents up to
-    its budget (the target rounded to a word), the last one cut.
+    A source takes its documents in the order of a hash of the id: ``epochs`` times all, and once
+    more those before the cut document, of which it takes ``cut_words``. So the budget, the target
+    rounded to a word, is met exactly.
 
     The order inside a source is a sort by key ranges. A range holds about ``rows_per_range`` rows
     whatever the source's size, sums per range give each range its start, and a window inside the
     range gives the rest, so a source with a third of all rows is many tasks.
-
-    Null text has size 0 and is never taken. A null source is a source of its own, the last one. A
-    null id is an id. Repeated rows are separate documents; ties of the hash go by id and size.
-    Only the three named columns are read. An empty table gives an empty result.
     """
     sizes = persisted(
         docs.select(
@@ -92,16 +88,25 @@ def mix(
         ),
         "mix-sizes",
     )
-    targets = persisted(source_targets(sizes, weights, most_epochs), "mix-targets")
-    limit = F.col("source_size") * most_epochs
-    budget = F.least(F.floor(F.col("target") + 0.5).cast("bigint"), limit)
+    whole = F.when(
+        F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))
+    ).otherwise(0)
+    targets = persisted(
+        source_targets(sizes, weights, most_epochs)
+        .withColumn(
+            "budget",
+            F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * most_epochs).cast("bigint"),
+        )
+        .withColumn("epochs", whole.cast("bigint"))
+        .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")),
+        "mix-targets",
+    )
     ranges = F.ceil(F.col("source_rows") / rows_per_range)
     keyed = (
         sizes.alias("d")
         .join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
         .select(
-            "d.doc_id", "d.source", "d.size", "d.key",
-            "t.source_rank", "t.source_size", "t.target", budget.alias("budget"),
+            "d.doc_id", "d.size", "d.key", "t.source_rank", "t.rest",
             F.floor(F.col("d.key") / F.lit(float(1 << 60)) * ranges).cast("int").alias("range"),
         )
     )
@@ -119,21 +124,79 @@ def mix(
         .orderBy("key", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    start = F.col("range_start") + F.col("within") - F.col("size")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size")))
-    epochs = F.coalesce(whole, F.lit(0)).cast("bigint")
-    rest = F.col("budget") - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return (
+    end = F.col("range_start") + F.col("within")
+    cut = (
         keyed.withColumn("within", F.sum("size").over(inside))
         .join(starts, ["source_rank", "range"])
-        .select(
-            "doc_id", "source", "size", "source_size", "target",
-            (epochs * F.col("size") + part).cast("bigint").alias("taken"),
-        )
+        .filter(end > F.col("rest"))
+        .groupBy("source_rank")
+        .agg(F.min(F.struct("key", "doc_id", (F.col("rest") - end + F.col("size")).alias("words"))).alias("cut"))
+    )
+    return persisted(
+        targets.join(cut, "source_rank", "left").select(
+            "source", "source_size", "target", "epochs",
+            F.col("cut.key").alias("cut_key"), F.col("cut.doc_id").alias("cut_id"),
+            F.coalesce("cut.words", F.lit(0)).alias("cut_words"),
+        ),
+        "mix-cuts",
     )
 
 
+def mix(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    most_epochs: int = MOST_EPOCHS,
+    seed: str = SEED,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """All input columns in ``doc``, and how many words the mix takes of each document.
+
+    Returns ``doc, size, source_size, target, taken``, one row per input row; ``doc`` is a struct,
+    so input columns may have any names. Documents meet their source's row of ``source_cuts``, a
+    table with a row per source, so texts are not shuffled.
+
+    Null text has size 0 and is never taken. A null source is a source of its own, the last one. A
+    null id is an id. Repeated rows are separate documents that are taken alike; at the cut each
+    takes the cut's words. An empty table gives an empty result.
+    """
+    cuts = source_cuts(docs, doc_id, text, source, weights, most_epochs, seed, rows_per_range)
+    rows = docs.select(
+        F.struct("*").alias("doc"),
+        F.col(source).alias("of"),
+        F.col(doc_id).alias("id"),
+        word_count(F.col(text)).alias("size"),
+        random_key(seed, F.col(doc_id)).alias("key"),
+    )
+    before = (F.col("key") < F.col("cut_key")) | (
+        (F.col("key") == F.col("cut_key"))
+        & F.coalesce(F.col("id") < F.col("cut_id"), F.col("id").isNull() & F.col("cut_id").isNotNull())
+    )
+    at = (F.col("key") == F.col("cut_key")) & F.col("id").eqNullSafe(F.col("cut_id"))
+    more = F.when(before, F.col("size")).when(at, F.least("size", "cut_words")).otherwise(0)
+    return rows.join(cuts, F.col("of").eqNullSafe(F.col("source"))).select(
+        "doc", "size", "source_size", "target",
+        (F.col("epochs") * F.col("size") + more).cast("bigint").alias("taken"),
+    )
+
+
+def mixed(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The mix itself with the columns of ``docs``: a row for each time a document is taken.
+
+    The document at a source's cut is shortened to the words that are taken of it.
+    """
+    taken = mix(docs, text=text, **settings).filter("taken > 0")
+    once = taken.withColumn("nth", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("nth") - 1) * F.col("size")).cast("int")
+    head = F.concat_ws(" ", F.slice(F.regexp_extract_all(f"doc.{text}", F.lit(WORD), F.lit(0)), 1, words))
+    kept = F.when(words < F.col("size"), head).otherwise(F.col(f"doc.{text}"))
+    return once.select(
+        *[kept.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns]
+    )
+
+
 @query(
     rf"""
 WITH sizes AS (
@@ -176,4 +239,5 @@ FROM placed
 )
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc.doc_id", "size", "source_size", "target", "taken")

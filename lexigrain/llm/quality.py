@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import operator
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrain.llm.common import fold, query, spread, table, within
-from lexigrain.session import persisted
 
 #: Labelled documents that the trees are fitted on, drawn by a hash of the id (about so many).
 TRAIN_ROWS = 20_000
@@ -76,20 +76,10 @@ def statistics(text: object) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, features`` of every document; one pass, no shuffle."""
-
-    def computed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "features": [statistics(t) for t in batch["text"]],
-                }
-            )
-
-    rows = spread(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")])
-    return rows.mapInPandas(computed, "doc_id long, features array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def features(texts: pd.Series) -> pd.Series:
+    """The statistics of whole texts as a column."""
+    return pd.Series([statistics(t) for t in texts])
 
 
 @dataclass
@@ -192,49 +182,63 @@ def fit(
     return model
 
 
-def learn(computed: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
-    """Trees from labelled rows outside the held-out fold.
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
+    """Trees from labelled documents outside the held-out fold.
 
-    ``computed`` is the stored output of ``features``, ``labels`` has ``doc_id`` and ``quality``.
-    A bounded sample of feature arrays reaches the driver; labels other than 0 and 1 are left out.
+    ``labels`` has ``doc_id`` and ``quality``; labels other than 0 and 1 are left out. At most about
+    ``train_rows`` of them are drawn, which bounds what is broadcast to the documents and the
+    statistics that reach the driver.
     """
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(
-        F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), HELD_OUT_FOLDS) != HELD_OUT)
+    known = (
+        labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
+        .filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), HELD_OUT_FOLDS) != HELD_OUT))
+        .dropDuplicates()
     )
     drawn = within(known, F.col("doc_id"), train_rows)
-    train = computed.join(drawn, "doc_id").orderBy("doc_id").toPandas()
+    train = (
+        spread(docs, ["doc_id", "text"])
+        .join(F.broadcast(drawn), "doc_id")
+        .select("doc_id", "quality", features("text").alias("features"))
+        .orderBy("doc_id", "quality")
+        .toPandas()
+    )
     rows = np.array(train["features"].tolist(), float).reshape(len(train), len(FEATURES))
     return fit(rows, train["quality"].to_numpy(float))
 
 
-def score(computed: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` of every document.
+def quality_of(spark: SparkSession, model: Trees) -> Callable:
+    """A column function from text to its score."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def quality(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            rows = np.array([statistics(t) for t in batch]).reshape(len(batch), len(FEATURES))
+            yield pd.Series(shared.value.score(rows))
+
+    return quality
+
+
+def score(
+    docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str = "text",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """``doc_id, score, predicted`` of every document, in one pass over whole texts.
 
     Null and empty texts have statistics like any other and get the score that was learned for
-    them. A null id stays null, repeated rows get the same score.
+    them. A null id stays null, repeated rows get the same score. Only two columns are read.
     """
-    shared = computed.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = np.array(batch["features"].tolist(), float).reshape(len(batch), len(FEATURES))
-            found = shared.value.score(rows)
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "score": found,
-                    "predicted": (found >= threshold).astype("int32"),
-                }
-            )
-
-    return computed.mapInPandas(scored, "doc_id long, score double, predicted int")
+    quality = quality_of(docs.sparkSession, model)
+    rows = spread(docs, [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")])
+    found = rows.select("doc_id", quality("text").alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 @query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from four fifths of the labelled ones."""
-    computed = persisted(features(table(spark, sf_dir, "documents")), "features")
-    found = score(computed, learn(computed, table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return found.select(
         "doc_id",
         (fold(F.col("doc_id"), HELD_OUT_FOLDS) == HELD_OUT).alias("held_out"),
