@@ -7,6 +7,7 @@ from lexigrain.llm import (  # noqa: F401
     quality,
     records,
     simhash,
+    url_filter,
 )
 from lexigrain.llm.common import CHECKS, QUERIES
 
