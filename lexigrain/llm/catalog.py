@@ -2,6 +2,7 @@
 
 from lexigrain.llm import (  # noqa: F401
     langid,
+    line_rules,
     mixing,
     packing,
     quality,
