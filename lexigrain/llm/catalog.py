@@ -1,6 +1,7 @@
 """All corpus queries; importing the modules registers them."""
 
 from lexigrain.llm import (  # noqa: F401
+    html_template,
     langid,
     line_rules,
     mixing,
