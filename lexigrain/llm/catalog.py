@@ -10,6 +10,7 @@ from lexigrain.llm import (  # noqa: F401
     records,
     simhash,
     url_filter,
+    vector_graph,
 )
 from lexigrain.llm.common import CHECKS, QUERIES
 
