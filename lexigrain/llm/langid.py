@@ -89,7 +89,7 @@ class Model:
     def score(self, words: list[str]) -> np.ndarray:
         """A row per word: how far each language is below the best one, at most a fixed margin.
 
-        Words of a script that no language uses score nothing.
+        Words of a script that no language uses score nothing. The last column is 1 for others.
         """
         owner, bucket, script = grams(words)
         rows = np.stack(
@@ -102,7 +102,7 @@ class Model:
         lettered = np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
         known = np.isfinite(best) & lettered[:, None]
         rows = np.where(known, rows - np.where(known, best, 0.0), 0.0)
-        return np.maximum(rows, -MOST_MARGIN).astype(np.float32)
+        return np.hstack([np.maximum(rows, -MOST_MARGIN), known]).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -189,7 +189,7 @@ class Labeller:
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch = model, switch
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, len(model.langs)), np.float32)
+        self.rows = np.zeros((0, len(model.langs) + 1), np.float32)
 
     def _look_up(self, fresh: list[str]) -> None:
         if not fresh:
@@ -215,10 +215,8 @@ class Labeller:
                 out.append((UNKNOWN, 0.0, []))
                 continue
             scores = self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
-            path = viterbi(scores, self.switch)
-            letters = np.fromiter(map(len, words), np.float64, len(words))
-            # a word on which all languages score alike says nothing
-            letters *= scores.min(axis=1) < 0 if len(langs) > 1 else 1.0
+            path = viterbi(scores[:, :-1], self.switch)
+            letters = np.fromiter(map(len, words), np.float64, len(words)) * scores[:, -1]
             if not letters.any() and not any(c.isalpha() for w in words for c in w):
                 out.append((UNKNOWN, 0.0, []))
                 continue
