@@ -35,7 +35,7 @@ def negative_log_likelihood(logits: Column, target: Column) -> Column:
 def uniform(key: Column, seed: int | str) -> Column:
     """A reproducible number in [0, 1) for a row key, the same on every run and partitioning."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def poisson_one(u: Column, largest: int = 12) -> Column:

@@ -51,15 +51,31 @@ def reduction(k: int, n_rows: int, n_features: int, features: str = "features")
     return Pipeline(stages=[centre, PCA(k=clipped, inputCol="centred", outputCol="components")])
 
 
-def term_pipeline(tokens: str = "tokens", vocabulary: int = 1 << 18) -> Pipeline:
-    """Count vectors weighted by IDF and scaled to length 1, in column ``features``."""
-    counts = CountVectorizer(inputCol=tokens, outputCol="counts", vocabSize=vocabulary)
+#: Distinct terms that a driver can hold as the vocabulary of a library model.
+DRIVER_TERMS = 20_000_000
+
+
+def count_vectors(df: DataFrame, tokens: str = "tokens", name: str = "counts") -> CountVectorizer:
+    """Count vectors over every term of ``df``. The library keeps the vocabulary on the driver, so
+    more terms than it can hold are an error, never left out."""
+    n_terms = df.select(F.explode(tokens).alias("term")).distinct().count()
+    if n_terms > DRIVER_TERMS:
+        raise ValueError(f"{n_terms} terms are more than the driver holds ({DRIVER_TERMS})")
+    return CountVectorizer(inputCol=tokens, outputCol=name, vocabSize=max(n_terms, 1))
+
+
+def term_pipeline(df: DataFrame, tokens: str = "tokens") -> Pipeline:
+    """Count vectors of all terms, weighted by IDF and scaled to length 1, in column ``features``."""
+    counts = count_vectors(df, tokens)
     idf = IDF(inputCol="counts", outputCol="weighted")
     return Pipeline(stages=[counts, idf, Normalizer(inputCol="weighted", outputCol="features")])
 
 
 def topic_model(topics: int = 5, seed: int = 0, iterations: int = 20) -> LDA:
-    return LDA(k=topics, seed=seed, maxIter=iterations, featuresCol="features")
+    """Every iteration reads all documents."""
+    return LDA(
+        k=topics, seed=seed, maxIter=iterations, subsamplingRate=1.0, featuresCol="features"
+    )
 
 
 def assign_topics(model: Model, df: DataFrame, name: str = "topic") -> DataFrame:
@@ -227,8 +243,11 @@ def grid_search(
 
     Label codes are in column ``label``. What grid points share is computed once: tokens are ranked
     once for the longest list, terms once per list for the widest matrix, components once per
-    matrix for the longest projection, and shorter ones are prefixes.
+    matrix for the longest projection, and shorter ones are prefixes. Library trees end at depth 30,
+    so a deeper grid is an error.
     """
+    if max(grid["max_depth"]) > 30:
+        raise ValueError("library trees have at most 30 levels; use trees.grow beyond them")
     ranked = persisted(
         top_tokens(train, label, token_array, max(grid["top_tokens"]), doc_id), "ranked"
     )
@@ -268,7 +287,7 @@ def grid_search(
                 )
                 for depth, trees in product(grid["max_depth"], grid["trees"]):
                     forest = random_forest(
-                        trees, min(depth, 30), seed, labelCol=label, featuresCol="features"
+                        trees, depth, seed, labelCol=label, featuresCol="features"
                     )
                     model = Pipeline(stages=[first, forest]).fit(projected["train"])
                     score = _accuracy(model.transform(projected["validation"]), label)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.functions.numeric import negative_log_likelihood
-from lexigrain.functions.text import join_tokens, truncate, words
+from lexigrain.functions.fixed_values import SPACE, WORD_OR_MARK_PATTERN
+from lexigrain.functions.text import words
 from lexigrain.operators.joins import lookup_join
 
 Scorer = Callable[[list[str]], np.ndarray]
@@ -27,12 +28,16 @@ def score_texts(
     """Logits per row from a scorer that takes a batch of texts.
 
     ``load_scorer`` runs once per task. Spark streams Arrow batches through the task, so neither
-    the partition nor its results are ever held as a whole. Texts are cut to ``max_tokens`` before
-    they leave the JVM; None passes them whole.
+    the partition nor its results are ever held as a whole. Texts of more than ``max_tokens`` tokens
+    are cut after that one before they leave the JVM, shorter ones pass as they are; None passes all
+    whole.
     """
     passed = F.col(text)
     if max_tokens is not None:
-        passed = join_tokens(truncate(words(passed), max_tokens))
+        head = rf"^(?:[{SPACE}]*+(?:{WORD_OR_MARK_PATTERN})){{{max_tokens}}}+"
+        passed = F.when(F.size(words(passed)) <= max_tokens, passed).otherwise(
+            F.regexp_extract(passed, head, 0)
+        )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load_scorer()

@@ -38,8 +38,11 @@ def length_summary(df: DataFrame, lengths: Sequence[str], by: Sequence[str] = ()
     return df.groupBy(*by).agg(*parts)
 
 
-def correlation(df: DataFrame, x: Column, y: Column, name: str = "r") -> DataFrame:
-    return df.agg(F.corr(x.cast("double"), y.cast("double")).alias(name))
+def correlation(df: DataFrame, **pairs: tuple[Column, Column]) -> DataFrame:
+    """Pearson correlation of each named pair of columns, from one pass."""
+    return df.agg(
+        *[F.corr(x.cast("double"), y.cast("double")).alias(name) for name, (x, y) in pairs.items()]
+    )
 
 
 def distinct_labels(df: DataFrame, label: str) -> DataFrame:
@@ -50,7 +53,19 @@ def category_counts(df: DataFrame, label: str, category: str) -> DataFrame:
     return df.groupBy(label, category).agg(F.count(F.lit(1)).alias("n"))
 
 
+def class_values(df: DataFrame, label: str) -> list[str]:
+    """The classes that occur, in order; labels are few."""
+    return sorted(r[0] for r in distinct_labels(df, label).collect())
+
+
 def cross_tab(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
-    """Counts with one column per value; absent pairs are zero."""
-    counted = df.groupBy(rows).pivot(columns, list(values)).agg(F.count(F.lit(1)))
+    """Counts with one column per value; absent pairs are zero, values not named fail the job."""
+    given = F.col(columns).cast("string")
+    known = F.when(given.isin(list(values)), given).otherwise(
+        F.raise_error(F.concat(F.lit("not a column of the cross-tab: "), F.coalesce(given, F.lit("null"))))
+    )
+    counted = (
+        df.select(rows, known.alias(columns)).groupBy(rows).pivot(columns, list(values))
+        .agg(F.count(F.lit(1)))
+    )
     return counted.na.fill(0)

@@ -28,11 +28,17 @@ NODE_LIMIT = 1_000_000
 
 
 def class_counts(label: str, weight: str, n_classes: int) -> Column:
-    """Aggregate: rows per class as an array with an entry for every class."""
+    """Aggregate: rows per class as an array with an entry for every class.
+
+    A label outside 0..K-1 fails the job, as its rows would be in no class.
+    """
     parts = [
         f"coalesce(sum(CASE WHEN {label} = {k} THEN {weight} END), 0)" for k in range(n_classes)
     ]
-    return F.expr(f"array({', '.join(parts)})")
+    outside = f"count_if({label} IS NULL OR NOT {label} BETWEEN 0 AND {n_classes - 1})"
+    return F.expr(
+        f"if({outside} > 0, raise_error('labels must be 0 to {n_classes - 1}'), array({', '.join(parts)}))"
+    )
 
 
 def _size(counts: str) -> Column:

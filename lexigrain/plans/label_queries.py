@@ -70,7 +70,8 @@ def b05_long_texts(spark: SparkSession, folder: str) -> DataFrame:
         text.sentence_count(F.col("text")).alias("sentences"),
         text.token_count(text.words(F.col("text"))).alias("words"),
     )
-    return measured.filter((F.col("sentences") >= 100) | (F.col("words") >= 1000))
+    long = measured.withColumn("hundreds", F.greatest("sentences", F.floor(F.col("words") / 10)))
+    return labels.at_least(long, "hundreds", 100).drop("hundreds")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'de'")

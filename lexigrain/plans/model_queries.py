@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +85,7 @@ def _topics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         "doc_id", "lang", text.long_words(F.col("text"), text.ENGLISH_STOP_WORDS).alias("tokens")
     )
     stored = persisted(docs, "tokens")
-    vectoriser = models.term_pipeline().fit(stored)
+    vectoriser = models.term_pipeline(stored).fit(stored)
     weighted = persisted(vectoriser.transform(stored).select("doc_id", "lang", "features"), "tfidf")
     fitted = models.topic_model().fit(weighted)
     words = models.topic_words(fitted, vectoriser.stages[0].vocabulary)
@@ -121,7 +120,7 @@ def d10_topics_by_label(spark: SparkSession, folder: str) -> DataFrame:
     )
     # one row per topic
     labelled = found.select("topic", "lang").join(F.broadcast(named), "topic")
-    return stats.cross_tab(labelled, "name", "lang", ["de", "en", "es", "fr"])
+    return stats.cross_tab(labelled, "name", "lang", stats.class_values(found, "lang"))
 
 
 @query(
@@ -210,7 +209,7 @@ def t18_coefficient_terms(spark: SparkSession, folder: str) -> DataFrame:
     coded = labels.encode(docs, labels.category_codes(docs, "lang", "label"), "lang", "label")
     words = text.long_words(F.col("text"), text.ENGLISH_STOP_WORDS)
     rows = persisted(coded.select("label", words.alias("tokens")), "tokens")
-    counts = CountVectorizer(inputCol="tokens", outputCol="features").fit(rows)
+    counts = models.count_vectors(rows, "tokens", "features").fit(rows)
     fitted = models.logistic_regression(rows.count(), maxIter=1000).fit(counts.transform(rows))
     return models.coefficient_terms(fitted, counts.vocabulary, rows)
 
@@ -227,7 +226,7 @@ def t19_class_weighted_training(spark: SparkSession, folder: str) -> DataFrame:
         weighted,
         rows.filter("fold = 0"),
         {
-            "forest": models.random_forest(20, 5, **settings),
+            "forest": models.random_forest(200, 3, **settings),
             "regression": models.logistic_regression(train.count(), **settings),
         },
     )
@@ -321,9 +320,7 @@ def t24_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def d12_mean_accuracy_per_model(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _embeddings(spark, folder)
-    quick = {"forest": models.random_forest(10, 3), "tree": models.decision_tree(maxDepth=3)}
-    return models.mean_accuracy(models.cross_validate(rows, quick))
+    return models.mean_accuracy(t24_cross_validation(spark, folder))
 
 
 @query()
@@ -334,12 +331,12 @@ def t25_model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     )
     stored = persisted(splits.random_split(rated, "doc_id", 42), "tokens")
     train = stored.filter("split = 'train'")
-    vectoriser = models.term_pipeline(vocabulary=1 << 14).fit(train)
+    vectoriser = models.term_pipeline(train).fit(train)
     ready = persisted(
         vectoriser.transform(stored).select("doc_id", "label", "split", "features"), "vectors"
     )
     chosen = {
-        "RandomForest": models.random_forest(20, 5),
+        "RandomForest": models.random_forest(200, 3),
         "LinearSVM": models.linear_svm(),
         "NaiveBayes": models.naive_bayes(),
     }
@@ -353,9 +350,9 @@ def t25_model_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, text, lang FROM documents")
 def a01_json_array_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Each part file holds one JSON array, so parts are parsed side by side."""
+    """Each part file holds one JSON array, so parts are parsed side by side in one flat folder."""
     docs = widen(read_table(spark, folder, "documents").select("doc_id", "text", "lang"))
-    batch = splits.batches(docs.select("doc_id"), "doc_id", 100)
+    batch = splits.batches(docs.select("doc_id"), "doc_id", 1_000)
     record = F.struct("doc_id", "text", "lang")
     arrays = (
         docs.join(batch, "doc_id")
@@ -363,8 +360,8 @@ def a01_json_array_files(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.to_json(F.collect_list(record)).alias("value"))
     )
     path = shared_path(spark, "json_array")
-    arrays.select("batch", "value").write.partitionBy("batch").text(path)
-    return sources.read_json_array(spark, f"{path}/*", docs.schema)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return sources.read_json_array(spark, path, docs.schema)
 
 
 @query("SELECT doc_id, text, lang FROM documents")

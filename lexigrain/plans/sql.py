@@ -83,8 +83,8 @@ def round4(x: str) -> str:
 
 def uniform(key: str, seed: int | str) -> str:
     return (
-        f"(CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
-        f" / 4294967296.0::DOUBLE)"
+        f"(CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 13) AS BIGINT)"
+        f" / 4503599627370496.0::DOUBLE)"
     )
 
 

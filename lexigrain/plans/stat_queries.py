@@ -86,10 +86,13 @@ def d05_correlation(spark: SparkSession, folder: str) -> DataFrame:
         text.sentence_count(F.col("text")).cast("double").alias("sentences"),
         text.token_count(text.words(F.col("text"))).cast("double").alias("words"),
     )
-    return measured.agg(
-        F.round(F.corr("number", "sentences"), 9).alias("r_sentences"),
-        F.round(F.corr("number", "words"), 9).alias("r_words"),
+    number = F.col("number")
+    found = stats.correlation(
+        measured,
+        r_sentences=(number, F.col("sentences")),
+        r_words=(number, F.col("words")),
     )
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
 
 
 @query("SELECT DISTINCT lang FROM documents")
@@ -154,7 +157,7 @@ def d09_category_counts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def d10_cross_tab(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder, "source", "lang")
-    return stats.cross_tab(docs, "source", "lang", ["de", "en", "es", "fr"])
+    return stats.cross_tab(docs, "source", "lang", stats.class_values(docs, "lang"))
 
 
 @query(

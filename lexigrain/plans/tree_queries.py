@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.functions.numeric import entropy
-from lexigrain.operators import evaluate, splits, trees
+from lexigrain.operators import evaluate, splits, stats, trees
 from lexigrain.plans.registry import query
 from lexigrain.plans.sql import round4, uniform
 from lexigrain.session import persisted
@@ -44,8 +44,9 @@ _ENTROPY = "-sum(n / s * log2(n / s))"
 )
 def t01_entropy(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("source", "lang")
-    code = F.array_position(F.array(*map(F.lit, ["de", "en", "es", "fr"])), F.col("lang")) - 1
-    counts = trees.class_counts("code", "1", 4)
+    langs = stats.class_values(docs, "lang")
+    code = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+    counts = trees.class_counts("code", "1", len(langs))
     per_source = docs.withColumn("code", code).groupBy("source").agg(counts.alias("counts"))
     return per_source.select("source", F.round(entropy("counts"), 9).alias("entropy"))
 
