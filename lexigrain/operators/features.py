@@ -18,18 +18,27 @@ from lexigrain.operators.joins import BROADCAST_ROWS, lookup_join
 from lexigrain.session import persisted
 
 
+#: Tokens that a filter may hold as a set of literals.
+LISTED_TOKENS = 10_000
+
+
 def filter_tokens(
     df: DataFrame, token_array: Column, kept: DataFrame, doc_id: str = "doc_id", name: str = "tokens"
 ) -> DataFrame:
     """Keep the tokens listed in ``kept`` (columns ``token``, ``n``), in their order.
 
-    ``kept`` holds top-token lists, so it has at most labels x n rows. Documents left without a
-    token stay, with an empty array.
+    ``kept`` holds top-token lists, so it has at most labels x n rows. Up to ``LISTED_TOKENS`` of
+    them are a set that filters the array in place; longer lists are joined. Documents left without
+    a token stay, with an empty array.
     """
-    listed = kept.groupBy("token").agg(F.sum("n").alias("_kept"))
+    listed = persisted(kept.groupBy("token").agg(F.sum("n").alias("_kept")), "kept")
+    known = [r["token"] for r in listed.select("token").limit(LISTED_TOKENS + 1).collect()]
+    if len(known) <= LISTED_TOKENS:
+        found = F.filter(token_array, lambda x: x.isin(known))
+        return df.select(doc_id, F.coalesce(found, F.array().cast("array<string>")).alias(name))
     rows = df.select(doc_id, F.posexplode_outer(token_array).alias("pos", "token"))
     joined = lookup_join(
-        rows, persisted(listed, "kept"), ["token"], "_kept", [doc_id, "pos"], how="left"
+        rows, listed, ["token"], "_kept", [doc_id, "pos"], how="left"
     )
     pair = F.when(F.col("_kept").isNotNull(), F.struct("pos", "token"))
     regrouped = joined.groupBy(doc_id).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
@@ -39,17 +48,41 @@ def filter_tokens(
 def doc_terms(df: DataFrame, token_array: Column, doc_id: str = "doc_id") -> DataFrame:
     """Occurrences of each term per document, with the document length.
 
-    The length is read off the array, so no second grouping is needed; it is taken before the array
-    is exploded, else every token row would carry the whole array. Empty documents give no rows:
-    they are dropped by the missing term, because a plain ``explode`` lets Catalyst infer a filter
-    on the array, which would clean every text once more below the exchange.
+    A document is one row, so terms are counted inside it and nothing is shuffled. Empty documents
+    give no rows: they are dropped by the missing term, because a plain ``explode`` lets Catalyst
+    infer a filter on the array, which would clean every text once more.
     """
-    sized = df.select(doc_id, token_array.alias("_tokens")).select(
-        doc_id, F.size("_tokens").cast("bigint").alias("doc_len"), "_tokens"
+    counted = counted_terms(df, token_array, doc_id)
+    exploded = counted.select(doc_id, "doc_len", F.explode_outer("runs").alias("_run"))
+    return exploded.filter(F.col("_run").isNotNull()).select(doc_id, "doc_len", "_run.term", "_run.n")
+
+
+def counted_terms(df: DataFrame, token_array: Column, doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: its length, and its terms in order with their numbers as ``runs``."""
+    ordered = df.select(doc_id, F.array_sort(token_array).alias("_sorted"))
+    starts = ordered.select("*", run_starts("_sorted").alias("_starts"))
+    return starts.select(
+        doc_id,
+        F.size("_sorted").cast("bigint").alias("doc_len"),
+        run_lengths("_sorted", "_starts").alias("runs"),
+    )
+
+
+def run_starts(ordered: str) -> Column:
+    """Places of a sorted array column where an entry differs from the one before."""
+    return F.expr(
+        f"filter(sequence(0, greatest(size({ordered}) - 1, 0)), i_ -> i_ < size({ordered}) AND "
+        f"(i_ = 0 OR get({ordered}, i_) <> get({ordered}, i_ - 1)))"
+    )
+
+
+def run_lengths(ordered: str, starts: str) -> Column:
+    """Distinct entries of a sorted array column and how often each occurs, as (term, n) pairs."""
+    # each start lasts to the next one, the last to the end
+    return F.expr(
+        f"transform({starts}, (a_, k_) -> named_struct('term', get({ordered}, a_), 'n', "
+        f"CAST(coalesce(get({starts}, k_ + 1), size({ordered})) - a_ AS BIGINT)))"
     )
-    exploded = sized.select(doc_id, "doc_len", F.explode_outer("_tokens").alias("term"))
-    exploded = exploded.filter(F.col("term").isNotNull())
-    return exploded.groupBy(doc_id, "doc_len", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_frequencies(terms: DataFrame) -> DataFrame:

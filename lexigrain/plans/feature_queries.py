@@ -18,6 +18,11 @@ def _texts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return colocate(docs, "doc_id")
 
 
+def _scan(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Texts where they are read, for steps that stay inside a row."""
+    return widen(read_table(spark, folder, "documents").select("doc_id", "text", *columns))
+
+
 def _clean() -> Column:
     return text.clean_tokens(F.col("text"))
 
@@ -42,7 +47,7 @@ nd AS (SELECT count(*) AS nd FROM documents)"""
         FROM documents d LEFT JOIN f USING (doc_id)"""
 )
 def e01_filter_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _texts(spark, folder, "lang")
+    docs = _scan(spark, folder, "lang")
     top = vocab.top_tokens(docs, "lang", _clean(), 50)
     kept = features.filter_tokens(docs, _clean(), top)
     return kept.select(
@@ -56,7 +61,7 @@ def e01_filter_tokens(spark: SparkSession, folder: str) -> DataFrame:
                round(ln(nd / (1 + df)), 6) AS idf_document FROM st, nd"""
 )
 def e02_inverse_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _texts(spark, folder)
+    docs = _scan(spark, folder)
     stats = features.term_statistics(features.doc_terms(docs, _clean()))
     n_docs = features.document_count(docs)
     return stats.select(
@@ -70,7 +75,7 @@ def e02_inverse_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_TERMS} SELECT doc_id, term, n, doc_len, round(tf, 9) AS tf FROM tf")
 def e03_term_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    terms = features.doc_terms(_texts(spark, folder), _clean())
+    terms = features.doc_terms(_scan(spark, folder), _clean())
     return features.term_frequencies(terms).withColumn("tf", F.round("tf", 9))
 
 
@@ -203,7 +208,7 @@ def e07_normalised_tfidf_no_stop_words(spark: SparkSession, folder: str) -> Data
 )
 def e08_term_counts(spark: SparkSession, folder: str) -> DataFrame:
     array = text.long_words(F.col("text"), text.ENGLISH_STOP_WORDS)
-    return features.doc_terms(_texts(spark, folder), array).drop("doc_len")
+    return features.doc_terms(_scan(spark, folder), array).drop("doc_len")
 
 
 def _ids(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

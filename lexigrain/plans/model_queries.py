@@ -372,6 +372,23 @@ def a02_json_lines(spark: SparkSession, folder: str) -> DataFrame:
     return sources.read_json_lines(spark, path, docs.schema)
 
 
+@query(
+    f"""WITH {sql.DOC_TOKENS},
+        stop AS (SELECT token FROM tok GROUP BY token ORDER BY count(*) DESC, token LIMIT 20)
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM tok
+        WHERE token NOT IN (SELECT token FROM stop) GROUP BY doc_id"""
+)
+def a03_stop_word_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens left after the twenty most frequent ones went to a stop-word file and back."""
+    docs = widen(read_table(spark, folder, "documents").select("doc_id", "text"))
+    tokens = docs.select("doc_id", F.explode(_clean()).alias("token"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    path = shared_path(spark, "stop_words")
+    counted.orderBy(F.col("n").desc(), "token").limit(20).select("token").write.text(path)
+    left = tokens.filter(~F.col("token").isin(sources.read_stop_words(spark, path)))
+    return left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang")
 def a05_written_metrics(spark: SparkSession, folder: str) -> DataFrame:
     counted = stats.label_counts(read_table(spark, folder, "documents"), "lang")

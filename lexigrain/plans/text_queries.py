@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions import text
 from lexigrain.operators import splits
-from lexigrain.operators.features import doc_terms, sentiment_by_lexicon
+from lexigrain.operators.features import counted_terms, sentiment_by_lexicon
 from lexigrain.operators.labels import category_codes
 from lexigrain.operators.vocab import top_tokens
 from lexigrain.plans import sql
@@ -179,11 +179,11 @@ def c16_topic_names(spark: SparkSession, folder: str) -> DataFrame:
         GROUP BY doc_id"""
 )
 def c17_word_frequency_maps(spark: SparkSession, folder: str) -> DataFrame:
-    """A map per document; texts are partitioned by document once, so both groupings are local."""
-    docs = colocate(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    counted = doc_terms(docs, text.alphabetic_words(F.col("text")))
-    pairs = F.array_sort(F.collect_list(F.struct("term", "n")))
-    maps = counted.groupBy("doc_id").agg(F.map_from_entries(pairs).alias("m"))
+    """A map per document that has words, counted inside the row."""
+    docs = widen(read_table(spark, folder, "documents").select("doc_id", "text"))
+    maps = counted_terms(docs, text.alphabetic_words(F.col("text"))).filter("doc_len > 0").select(
+        "doc_id", F.map_from_entries("runs").alias("m")
+    )
     shown = F.transform(
         F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
     )

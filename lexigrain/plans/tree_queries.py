@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrain import sources
 from lexigrain.functions.numeric import entropy
 from lexigrain.operators import evaluate, splits, stats, trees
 from lexigrain.plans.registry import query
 from lexigrain.plans.sql import round4, uniform
-from lexigrain.session import persisted
+from lexigrain.session import persisted, shared_path
 from lexigrain.sources import read_table
 
 N_FEATURES = 8
@@ -224,6 +225,18 @@ def t09_predict(spark: SparkSession, folder: str) -> DataFrame:
     return trees.predict(rows, nodes)
 
 
+@query(
+    f"""WITH {tree_sql(3, _ONE_TREE)}, {_votes_sql(3)}
+        SELECT row_id, tree_id, node_id, predicted FROM last JOIN leaf USING (tree_id, node_id)"""
+)
+def a04_saved_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of a tree after its node table was stored and loaded."""
+    rows = _rows(spark, folder)
+    path = shared_path(spark, "saved-tree")
+    sources.save_node_table(trees.grow(rows, N_FEATURES, N_CLASSES, max_depth=3), path)
+    return trees.predict(rows, sources.load_node_table(spark, path))
+
+
 FOREST_TREES = 3
 
 _DRAWN = f"""WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn, count(*) OVER () AS n FROM embeddings),
