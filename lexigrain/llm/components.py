@@ -9,8 +9,12 @@ from lexigrain.session import persisted
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
-    """Smallest node that each node ``u`` sees among its neighbours ``v`` and itself."""
-    return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """Smallest node that each node ``u`` sees among its neighbours ``v`` and itself, as a table.
+
+    Stored, so that its join with the links of a hub is between two plain exchanges, which adaptive
+    execution splits; an aggregate below the join would hold all rows of the hub in one task.
+    """
+    return persisted(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "nearest")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -23,7 +27,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Connect each node and its smaller neighbours to the smallest of them."""
-    seen = links.groupBy("u").agg(F.min("v").alias("m"))
+    seen = _nearest(links)
     joined = links.join(seen, "u").filter(F.col("v") != F.col("m"))
     moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(seen.select("u", F.col("m").alias("v")))
@@ -34,8 +38,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Links point from the larger to the smaller node. Rounds of large and small stars halve distances
     until every node points at its component; the number of links never grows. Minima combine
-    before the shuffle, and joins on a node with very many links are plain equi-joins that adaptive
-    execution can split. Each round is a stored table, so lineage stays short and survives lost
+    before the shuffle, and joins on a node with very many links can be split. Each round is a stored table, so lineage stays short and survives lost
     executors; only a count and a checksum reach the driver.
     """
     now = persisted(
@@ -47,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         seen = Observation()
-        star = _small_star(_large_star(now)).distinct().observe(
+        star = _small_star(persisted(_large_star(now), "star")).distinct().observe(
             seen,
             F.count(F.lit(1)).alias("n"),
             F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("sum"),
