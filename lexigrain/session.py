@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +30,10 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="lexigrain-")
+    """One folder per process for sessions without a shared one; it goes with the process."""
+    folder = tempfile.mkdtemp(prefix="lexigrain-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
