@@ -160,10 +160,8 @@ def linear_svm(
 
 def logistic_regression(n_rows: int, label: str = "label", **settings: object) -> Estimator:
     """Multinomial regression with a penalty that does not grow with the number of rows."""
-    return LogisticRegression(
-        family="multinomial", regParam=1 / n_rows, standardization=False, tol=1e-4,
-        labelCol=label, **settings,
-    )
+    chosen = {"regParam": 1 / n_rows, "standardization": False, "tol": 1e-4} | settings
+    return LogisticRegression(family="multinomial", labelCol=label, **chosen)
 
 
 def naive_bayes(label: str = "label") -> Estimator:

@@ -80,6 +80,22 @@ def e11_principal_components(spark: SparkSession, folder: str) -> DataFrame:
     return reduced.select("doc_id", vector_to_array("components").alias("components"))
 
 
+@query(
+    """WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS d
+                  FROM embeddings),
+            c AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY d) AS v FROM x)
+       SELECT vec_id, round(sqrt(sum(v * v)), 6) AS length FROM c GROUP BY vec_id"""
+)
+def e11_component_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """With all components kept, a projected row is as long as the centred one."""
+    rows = _embeddings(spark, folder).select("vec_id", "features")
+    reduced = models.reduction(64, rows.count(), 64).fit(rows).transform(rows)
+    square = F.aggregate(
+        vector_to_array("components"), F.lit(0.0), lambda total, x: total + x * x
+    )
+    return reduced.select("vec_id", F.round(F.sqrt(square), 6).alias("length"))
+
+
 def _topics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = _texts(spark, folder, "lang").select(
         "doc_id", "lang", text.long_words(F.col("text"), text.ENGLISH_STOP_WORDS).alias("tokens")
@@ -185,6 +201,18 @@ def t17_logistic_regression(spark: SparkSession, folder: str) -> DataFrame:
     return fitted.transform(rows.filter("fold = 0")).select("vec_id", "label", "prediction")
 
 
+@query("SELECT CAST(label AS INTEGER) AS label, round(CAST(count(*) AS DOUBLE), 3) AS total FROM embeddings GROUP BY label")
+def t17_class_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """At the optimum the predicted probabilities of a class add up to its rows, as intercepts bear
+    no penalty."""
+    rows = _embeddings(spark, folder)
+    fitted = models.logistic_regression(rows.count(), tol=1e-10, maxIter=1000).fit(rows)
+    shares = fitted.transform(rows).select(
+        F.posexplode(vector_to_array("probability")).alias("label", "p")
+    )
+    return shares.groupBy("label").agg(F.round(F.sum("p"), 3).alias("total"))
+
+
 @query(
     f"""WITH {sql.DOC_TOKENS},
         c AS (SELECT lang, token AS term, count(*) AS c FROM tok GROUP BY ALL),
