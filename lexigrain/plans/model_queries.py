@@ -58,6 +58,25 @@ def e10_mean_word_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return models.mean_vectors(docs, _clean(), fitted.getVectors(), 100)
 
 
+@query(
+    f"""WITH {sql.DOC_TOKENS},
+        m AS (SELECT doc_id, avg(CAST(ascii(token) % 7 AS DOUBLE)) AS a, avg(CAST(length(token) AS DOUBLE)) AS b
+              FROM tok WHERE length(token) <> 3 GROUP BY doc_id)
+        SELECT d.doc_id, round(coalesce(a, 0), 9) AS first, round(coalesce(b, 0), 9) AS second
+        FROM documents d LEFT JOIN m USING (doc_id)"""
+)
+def e10_mean_of_given_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean vectors from a table of word vectors; words of three letters are unknown to it."""
+    docs = _texts(spark, folder)
+    given = docs.select(F.explode(_clean()).alias("word")).filter(F.length("word") != 3).distinct()
+    numbers = F.array((F.ascii("word") % 7).cast("double"), F.length("word").cast("double"))
+    table = persisted(given.select("word", array_to_vector(numbers).alias("vector")), "words")
+    mean = models.mean_vectors(docs, _clean(), table, 2)
+    return mean.select(
+        "doc_id", F.round(F.get("mean", F.lit(0)), 9).alias("first"), F.round(F.get("mean", F.lit(1)), 9).alias("second")
+    )
+
+
 @query(
     """SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM (
          SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings)
@@ -260,6 +279,26 @@ def t19_class_weighted_training(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH f AS (SELECT label, count(*) AS n, count(*) / (SELECT count(*) FROM embeddings) AS freq
+                  FROM embeddings GROUP BY label),
+            w AS (SELECT label, n, (1 / freq) / sum(1 / freq) OVER () AS weight FROM f)
+       SELECT CAST(label AS INTEGER) AS label, round(n * weight, 3) AS total FROM w"""
+)
+def t19_weighted_class_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Weighted probabilities of a class add up to its weighted rows."""
+    rows = _embeddings(spark, folder)
+    weights = persisted(labels.class_weights(rows, "label").select("label", "weight"), "weights")
+    # one row per class
+    weighted = persisted(rows.join(F.broadcast(weights), "label"), "weighted")
+    settings = {"weightCol": "weight", "tol": 1e-10, "maxIter": 1000}
+    fitted = models.logistic_regression(rows.count(), **settings).fit(weighted)
+    shares = fitted.transform(weighted).select(
+        "weight", F.posexplode(vector_to_array("probability")).alias("label", "p")
+    )
+    return shares.groupBy("label").agg(F.round(F.sum(F.col("p") * F.col("weight")), 3).alias("total"))
+
+
 @query(
     """WITH f AS (SELECT label, count(*) / (SELECT count(*) FROM embeddings) AS freq FROM embeddings GROUP BY label),
             w AS (SELECT label, (1 / freq) / sum(1 / freq) OVER () AS weight FROM f),
