@@ -182,6 +182,17 @@ def t13_library_trees(spark: SparkSession, folder: str) -> DataFrame:
     return models.compare(rows.filter("fold > 0"), rows.filter("fold = 0"), fitted)
 
 
+@query("SELECT CAST(label AS INTEGER) AS label, round(CAST(count(*) AS DOUBLE), 3) AS total FROM embeddings GROUP BY label")
+def t13_tree_class_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves give the shares of their training rows, so these add up to the classes."""
+    rows = _embeddings(spark, folder)
+    fitted = models.decision_tree(maxDepth=8).fit(rows)
+    shares = fitted.transform(rows).select(
+        F.posexplode(vector_to_array("probability")).alias("label", "p")
+    )
+    return shares.groupBy("label").agg(F.round(F.sum("p"), 3).alias("total"))
+
+
 @query()
 def t14_linear_svm(spark: SparkSession, folder: str) -> DataFrame:
     rows = _embeddings(spark, folder)
