@@ -5,8 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: White space of Unicode, at which both pre-tokenizers always part. (Fixed values.)
 BLANK = (
@@ -17,10 +16,8 @@ LETTER, SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:&$*#%"
 UNIT = re.compile(
     rf" ?[{LETTER}]+(?=[{BLANK}{SIGN}]|\Z)| ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 )
-#: Two blanks side by side, or one at an end: there a stretch depends on its neighbours.
-UNEVEN = re.compile(rf"[{BLANK}][{BLANK}]|\A[{BLANK}]|[{BLANK}]\Z")
-#: Entries kept in each of a worker's caches, and the longest stretch that is worth keeping.
-CACHE_UNITS, CACHE_CHARS = 400_000, 48
+#: Stretches kept in a worker's cache, and the longest one that is worth keeping.
+CACHE_UNITS, CACHE_CHARS = 600_000, 48
 
 
 class Encoder:
@@ -39,54 +36,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
-        self.after_blank: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _units(self, stretches: list[str], known: dict[str, bytes], kept: dict[str, bytes]) -> None:
-        """Enter the ids of stretches in ``known``, by their units, which are kept in ``kept``."""
-        units = [UNIT.findall(s) for s in stretches]
-        fresh = list(set().union(*units).difference(kept))
-        kept.update(zip(fresh, self._encode(fresh)))
-        for stretch, parts in zip(stretches, units):
-            known[stretch] = b"".join(map(kept.__getitem__, parts))
-        for unit in fresh:
-            if len(unit) > CACHE_CHARS:
-                del kept[unit]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts."""
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        if len(self.after_blank) > CACHE_UNITS:
-            self.after_blank.clear()
-        whole, rest, even = {}, {}, []
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                whole[i] = text
-            elif UNEVEN.search(text):
-                rest[i] = text
-            else:
-                even.append((i, text.split(" ")))
-        out = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode(list(whole.values()))):
-            out[i] = ids
-        # texts with single blanks only: each stretch after the first has a blank before it
-        fresh = list(set().union(*(p[1:] for _, p in even)).difference(self.after_blank))
-        found: dict[str, bytes] = {}
-        first = {p[0] for _, p in even}
-        self._units([*(" " + f for f in fresh), *first, *rest.values()], found, self.cache)
-        self.after_blank.update((f, found[" " + f]) for f in fresh)
-        for i, text in rest.items():
-            out[i] = found[text]
-        for i, pieces in even:
-            out[i] = found[pieces[0]] + b"".join(map(self.after_blank.__getitem__, pieces[1:]))
-        for f in fresh:
-            if len(f) > CACHE_CHARS:
-                del self.after_blank[f]
-        return out
+        units = [
+            [t] if any(s in t for s in self.special) else UNIT.findall(t) for t in texts
+        ]
+        fresh = [u for u in set().union(*units) if u not in self.cache]
+        self.cache.update(zip(fresh, self._encode(fresh)))
+        ids = [b"".join(map(self.cache.__getitem__, u)) for u in units]
+        for u in fresh:
+            if len(u) > CACHE_CHARS:
+                del self.cache[u]
+        return ids
 
 
 @functools.cache
