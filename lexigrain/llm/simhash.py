@@ -27,24 +27,30 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: object) -> int:
-    """SimHash of a whole text over the hashes of its 3-word shingles; 0 without words."""
+def shingle_hashes(text: object, shingle: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """The words of a text in ASCII lower case, and a hash of each shingle; none without words."""
     import xxhash
 
-    if not isinstance(text, str):
-        return 0
-    words = text.encode("utf-8", "replace").translate(_LOWER).split()
-    if not words:
-        return 0
+    words = text.encode("utf-8", "replace").translate(_LOWER).split() if isinstance(text, str) else []
     joined = b" ".join(words)
+    if not words:
+        return joined, np.zeros(0, "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - SHINGLE + 1)
-    stops = ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]
+    n = max(1, len(words) - shingle + 1)
+    stops = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return joined, np.fromiter(
         (digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist())), "<u8", n
     )
+
+
+def fingerprint(text: object) -> int:
+    """SimHash of a whole text over the hashes of its 3-word shingles; 0 without words."""
+    _, hashes = shingle_hashes(text)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexigrain.llm import simhash, vector_graph
+import corpus_pipeline
+from lexigrain.llm import near_copies, simhash, vector_graph
 from lexigrain.llm.components import components
 
 CLASHING = "doc_id long, text string, print long, node long, component_id string, key int"
@@ -92,6 +93,46 @@ def test_groups_of_repeated_rows_null_ids_and_an_empty_table(spark):
     assert empty.columns == ["doc_id", "fingerprint", "component_id"] and empty.count() == 0
 
 
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def planted_copies():
+    """Texts in groups of a base and copies with a few words replaced, over similarities of 0.6 to 1."""
+    rng = random.Random(11)
+    texts = [None, "", " \t", "one", "ONE", "a b c d e", "a b c d e f"]
+    for _ in range(60):
+        base = [f"w{rng.randrange(20_000)}" for _ in range(rng.randrange(100, 500))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randrange(len(words) // 25)):
+                words[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    return texts + texts[20:24]
+
+
+@pytest.mark.parametrize("part, group_texts", [(near_copies.PART, near_copies.GROUP_TEXTS), (2, 2)])
+def test_near_copies_at_a_jaccard_similarity_of_four_fifths(spark, part, group_texts):
+    texts = planted_copies()
+    sets = [plain_shingles(t) for t in texts]
+
+    def jaccard(i, j):
+        return len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] or sets[j] else 1.0
+
+    planted = [jaccard(i, j) for i in range(len(texts)) for j in range(i)]
+    assert sum(0.8 <= s < 0.95 for s in planted) > 100 and sum(0.6 < s < 0.8 for s in planted) > 50
+    label = plain_components(len(texts), lambda i, j: jaccard(i, j) >= 0.8)
+    docs = spark.createDataFrame(
+        [(100 + i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, node long, key string"
+    ).repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.copy_groups(docs, part=part, group_texts=group_texts).collect()}
+    assert got == {100 + i: 100 + c for i, c in enumerate(label)}
+    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()}
+    assert kept == {100 + c for c in label}
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i + 1, i) for i in range(40)]
     hub = [(200, 201 + i) for i in range(50)]
