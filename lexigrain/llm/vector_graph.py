@@ -22,8 +22,9 @@ PER_CENTRE, MOST_CENTRES, OVERLAP, ROUNDS = 600, 2_048, 2, 8
 BLOCK = 4_096
 #: Out-degree, candidates and slack of the pruned graph; width of the greedy search.
 DEGREE, CANDIDATES, SLACK, BEAM = 24, 64, 1.2, 16
-#: Vectors whose id this divides are the audit's queries; a block below the recall is searched wider.
-AUDIT_EVERY, LEAST_RECALL = 50, 0.95
+#: Vectors whose id this divides are the audit's queries, and so many more that each block has some; a
+#: block below the recall, or without a link of the audit's queries, is compared exactly.
+AUDIT_EVERY, LEAST_AUDITED, LEAST_RECALL = 50, 64, 0.95
 
 MEMBERS = "space string, shard int, other int, node long, copies long, vector array<double>"
 ADJACENT = "node long, near array<long>"
@@ -154,22 +155,27 @@ def search_block(
 ) -> np.ndarray:
     """Links between all points of a block as a symmetric boolean matrix.
 
-    The audit compares its queries with all points; below the recall the search goes on with a
-    wider beam, at last as wide as the block.
+    The audit compares its queries, the given ones and some spread over the block, with all points.
+    If the search finds less of their links than the recall, or they have none that would show it,
+    all points are compared.
     """
-    m, beam, entry = len(vectors), BEAM, medoids(vectors)
+    m, entry = len(vectors), medoids(vectors)
+    some = np.linspace(0, m - 1, min(m, LEAST_AUDITED)).astype(np.int64)
+    audited = np.union1d(np.asarray(audited, np.int64), some)
     truth = vectors[audited] @ vectors.T >= least
-    while True:
-        hits = np.zeros((m, m), bool)
+    truth[np.arange(len(audited)), audited] = False
+    hits = np.zeros((m, m), bool)
+    if truth.any():
         for at in range(0, m, 256):
             queries = np.arange(at, min(at + 256, m))
-            hits[queries] = range_search(vectors, near, queries, entry, beam, least)
+            hits[queries] = range_search(vectors, near, queries, entry, BEAM, least)
+        hits |= hits.T
+    if not truth.any() or (hits[audited] & truth).sum() < LEAST_RECALL * truth.sum():
+        for at in range(0, m, 512):
+            hits[at : at + 512] |= vectors[at : at + 512] @ vectors.T >= least
         hits |= hits.T
-        np.fill_diagonal(hits, False)
-        truth[np.arange(len(audited)), audited] = False
-        if (hits[audited] & truth).sum() >= LEAST_RECALL * truth.sum() or beam >= m:
-            return hits
-        beam *= 4
+    np.fill_diagonal(hits, False)
+    return hits
 
 
 def roots(links: np.ndarray) -> np.ndarray:

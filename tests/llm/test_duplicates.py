@@ -204,3 +204,22 @@ def test_pruned_graph_finds_what_brute_force_finds():
     hits = vector_graph.search_block(points, near, np.arange(0, 600, 50), 0.93)
     assert not (hits & ~truth).any()
     assert (hits & truth).sum() >= 0.95 * truth.sum()
+
+
+def test_links_between_tight_groups_of_a_block_are_found():
+    rng = np.random.default_rng(4)
+    middle = np.eye(64)[0]
+    centres = [middle + 0.2 * (x / np.linalg.norm(x)) for x in rng.normal(size=(14, 64)) * (1 - middle)]
+    points = np.repeat(centres, 100, axis=0) + rng.normal(size=(1400, 64)) * 0.004
+    points = points[rng.permutation(1400)]
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    lists = vector_graph.prune(points)
+    near = np.full((1400, vector_graph.DEGREE), -1)
+    for i, x in enumerate(lists):
+        near[i, : len(x)] = x
+    truth = points @ points.T >= 0.93
+    np.fill_diagonal(truth, False)
+    assert truth.sum() > 0.9 * 1400 * 1399
+    for audited in (np.arange(0, 1400, 50), np.zeros(0, np.int64)):
+        hits = vector_graph.search_block(points, near, audited, 0.93)
+        assert not (hits & ~truth).any() and (hits & truth).sum() >= 0.95 * truth.sum()
