@@ -16,8 +16,11 @@ from lexigrain.session import persisted
 LEAST_COSINE = 0.93
 #: Vectors that the cluster centres are fitted on, drawn by a hash of the id (about so many).
 SAMPLE = 20_000
-#: Vectors per centre, centres in all, and how many nearest shards a vector joins.
-PER_CENTRE, MOST_CENTRES, OVERLAP, ROUNDS = 600, 2_048, 2, 8
+#: Vectors per centre, and centres in all.
+PER_CENTRE, MOST_CENTRES, ROUNDS = 600, 2_048, 8
+#: Audited vectors of all large spaces (about so many), links they need for a measured overlap, and the
+#: share of them whose ends share a shard.
+AUDITED, LEAST_LINKS, SHARED = 2_000, 1_000, 0.99
 #: Vectors that meet in one task. A larger shard is cut into parts; each pair of parts is a block.
 BLOCK = 4_096
 #: Out-degree, candidates and slack of the pruned graph; width of the greedy search.
@@ -26,7 +29,7 @@ DEGREE, CANDIDATES, SLACK, BEAM = 24, 64, 1.2, 16
 #: block below the recall, or without a link of the audit's queries, is compared exactly.
 AUDIT_EVERY, LEAST_AUDITED, LEAST_RECALL = 50, 64, 0.95
 
-MEMBERS = "space string, shard int, other int, node long, copies long, vector array<double>"
+MEMBERS = "space string, shard int, shards array<int>, node long, copies long, vector array<double>"
 ADJACENT = "node long, near array<long>"
 LINKED = "node long, n long, root long"
 
@@ -52,6 +55,75 @@ def centres(sample: pd.DataFrame, sizes: dict[str, int]) -> dict[str, np.ndarray
     return out
 
 
+def beyond(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """How far each vector is from the border to each centre's cell, as a sine; 0 for its own cell.
+
+    A way between two vectors of two cells crosses the border between them, so if they are an angle t
+    apart, one of them is at most t / 2 from it: joining all cells up to sin(t / 2) loses no pair.
+    """
+    cosine = vectors @ centres.T
+    home = cosine.argmax(axis=1)
+    gap = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[home]
+    over = cosine[np.arange(len(home)), home][:, None] - cosine
+    return np.where(gap > 1e-9, over / np.where(gap > 1e-9, gap, 1), 0)
+
+
+def half_sine(least: float) -> float:
+    """Sine of half the angle of a cosine: the margin that loses no pair."""
+    return float(np.sqrt(max(0.0, (1 - least) / 2))) + 1e-9
+
+
+def margins(
+    vectors: DataFrame, found: dict[str, np.ndarray], least: float, audited: int = AUDITED
+) -> dict[str, float]:
+    """Margin of each space within which a vector joins shards, from its audit.
+
+    The audit's queries are the vectors whose id ``AUDIT_EVERY`` divides, drawn by a hash where there
+    are more than ``audited``. They are compared with all vectors of their space, and each link needs a margin
+    at which its ends share a shard. The margin is the least that holds for the wanted share of
+    links; with few links it is the one that loses none.
+    """
+    spark = vectors.sparkSession
+    most = half_sine(least)
+    known = F.col("space").isin(list(found))
+    asked = within(vectors.filter(known & (F.col("node") % AUDIT_EVERY == 0)).select("node", "space", "vector"),
+                   F.col("node"), audited).toPandas()
+    queries = {s: (g["node"].to_numpy(), np.array(g["vector"].tolist())) for s, g in asked.groupby("space")}
+    shared = spark.sparkContext.broadcast((found, queries))
+
+    def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, queries = shared.value
+        sines = {s: beyond(v, cells[s]) for s, (_, v) in queries.items()}
+        for batch in batches:
+            for space, group in batch.groupby("space"):
+                if space not in queries:
+                    continue
+                ids, wanted = queries[space]
+                rows = np.array(group["vector"].tolist())
+                own = beyond(rows, cells[space])
+                u, q = np.nonzero((rows @ wanted.T >= least) & (group["node"].to_numpy()[:, None] != ids))
+                steps = np.zeros(len(u), np.int64)
+                for at in range(0, len(u), 1 << 13):
+                    part = slice(at, at + (1 << 13))
+                    needed = np.maximum(own[u[part]], sines[space][q[part]]).min(axis=1)
+                    steps[part] = np.ceil(np.minimum(needed / most, 1) * 100)
+                step, n = np.unique(steps, return_counts=True)
+                yield pd.DataFrame({"space": space, "step": step, "n": n})
+
+    counted = vectors.filter(known).select("space", "node", "vector")
+    steps = (
+        counted.mapInPandas(compared, "space string, step long, n long")
+        .groupBy("space", "step").agg(F.sum("n").alias("n")).toPandas()
+    )
+    out = dict.fromkeys(found, most)
+    for space, group in steps.sort_values("step").groupby("space"):
+        total = group["n"].cumsum().to_numpy()
+        if total[-1] >= LEAST_LINKS:
+            enough = int((total >= SHARED * total[-1]).argmax())
+            out[space] = float(group["step"].iloc[enough]) / 100 * most + 1e-9
+    return out
+
+
 def prune(vectors: np.ndarray, degree: int = DEGREE) -> list[np.ndarray]:
     """Robust pruning: of a point's nearest candidates, those that no kept one is much nearer to."""
     out = []
@@ -190,8 +262,8 @@ def roots(links: np.ndarray) -> np.ndarray:
         label = lowest
 
 
-def _members(vectors: DataFrame, sample_rows: int) -> DataFrame:
-    """Each vector in its nearest shards: a stored table with the shard and the other one."""
+def _members(vectors: DataFrame, sample_rows: int, least: float) -> DataFrame:
+    """Each vector in all shards within its space's margin: a stored table with the shard and all of them."""
     spark = vectors.sparkSession
     sample = within(vectors.select("node", "space", "vector"), F.col("node"), sample_rows).toPandas()
     # spaces that need several shards are in the sample; the list is no longer than it
@@ -201,20 +273,22 @@ def _members(vectors: DataFrame, sample_rows: int) -> DataFrame:
     )
     sizes = {r["space"]: r["count"] for r in large.join(spaces, "space").collect()}
     found = centres(sample[sample["space"].isin(list(sizes))], sizes)
-    shared = spark.sparkContext.broadcast(found)
+    shared = spark.sparkContext.broadcast((found, margins(vectors, found, least) if found else {}))
+    names = [c.split()[0] for c in MEMBERS.split(", ")]
 
     def assigned(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for space, group in batch.groupby("space"):
-                if space not in shared.value:
-                    yield group.assign(shard=0, other=-1)[[c.split()[0] for c in MEMBERS.split(", ")]]
+                cells, margin = shared.value
+                if space not in cells:
+                    yield group.assign(shard=0, shards=[[0]] * len(group))[names]
                     continue
-                near = np.array(group["vector"].tolist()) @ shared.value[space].T
-                first = np.argsort(-near, axis=1, kind="stable")[:, :OVERLAP]
-                for a, b in ((0, 1), (1, 0)):
-                    yield group.assign(shard=first[:, a], other=first[:, b])[
-                        [c.split()[0] for c in MEMBERS.split(", ")]
-                    ]
+                near = beyond(np.array(group["vector"].tolist()), cells[space]) <= margin[space]
+                row, shard = np.nonzero(near)
+                joined = pd.Series([np.flatnonzero(n) for n in near], index=group.index)
+                for at in range(0, len(row), 1 << 12):
+                    rows = row[at : at + (1 << 12)]
+                    yield group.assign(shards=joined).iloc[rows].assign(shard=shard[at : at + (1 << 12)])[names]
 
     return persisted(vectors.mapInPandas(assigned, MEMBERS), "members")
 
@@ -248,7 +322,8 @@ def near_vectors(
     """Links and component of every vector: ``vec_id, n_links, component_id, kept``.
 
     Vectors of one label link at a cosine of ``least`` or more, in double precision. Equal vectors
-    are one node with a number of copies. Nodes join their nearest shards; each block of a shard
+    are one node with a number of copies. Nodes join every shard within a margin of their nearest, which
+    an audit against whole labels sets; each block of a shard
     builds a robust-pruned graph, adjacency lists of a node are united over blocks, and each block
     searches it for all its members. A link is counted in one block only, the first that both ends
     share, so numbers of links are sums and no list of pairs leaves a block; a block hands on its
@@ -284,7 +359,7 @@ def near_vectors(
         .select("k1", "k2", "space", "node", "copies", F.transform("scaled", lambda x: x / F.col("norm")).alias("vector")),
         "nodes",
     )
-    blocks = persisted(_blocks(_members(nodes, sample_rows), block), "blocks")
+    blocks = persisted(_blocks(_members(nodes, sample_rows, least), block), "blocks")
 
     def built(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
@@ -315,13 +390,18 @@ def near_vectors(
         near[pairs[:, 0], column] = pairs[:, 1]
         vectors_here = np.array(group["vector"].tolist())
         links = search_block(vectors_here, near, np.flatnonzero(ids % AUDIT_EVERY == 0), least)
-        shard, other = int(group["shard"].iloc[0]), group["other"].to_numpy()
+        # the shards before this one, as bits
+        shard = int(group["shard"].iloc[0])
+        before = np.zeros((len(ids), shard), bool)
+        for i, shards in enumerate(group["shards"]):
+            before[i, [x for x in shards if x < shard]] = True
+        bits = np.packbits(before, axis=1)
         part = group["part"].to_numpy()
         n = np.zeros(len(ids), np.int64)
         copies = group["copies"].to_numpy()
         linked = np.flatnonzero(links.any(axis=1))
         for i in linked:
-            owned = links[i] & ~((other == other[i]) & (other[i] >= 0) & (other[i] < shard))
+            owned = links[i] & ~(bits & bits[i]).any(axis=1)
             if group["a"].iloc[0] != group["b"].iloc[0]:
                 owned &= part != part[i]
             n[i] = copies[owned].sum()

@@ -223,3 +223,19 @@ def test_links_between_tight_groups_of_a_block_are_found():
     for audited in (np.arange(0, 1400, 50), np.zeros(0, np.int64)):
         hits = vector_graph.search_block(points, near, audited, 0.93)
         assert not (hits & ~truth).any() and (hits & truth).sum() >= 0.95 * truth.sum()
+
+
+def test_links_across_many_shards_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "PER_CENTRE", 50)
+    rng = np.random.default_rng(6)
+    ones = rng.normal(size=(1500, 64))
+    ones /= np.linalg.norm(ones, axis=1, keepdims=True)
+    others = ones + 0.36 * (x := rng.normal(size=ones.shape)) / np.linalg.norm(x, axis=1, keepdims=True)
+    points = np.concatenate([ones, others / np.linalg.norm(others, axis=1, keepdims=True)])
+    truth = points @ points.T >= 0.93
+    np.fill_diagonal(truth, False)
+    assert truth.sum() > 2000
+    docs = spark.createDataFrame([(i, v, 1) for i, v in enumerate(points.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vector_graph.near_vectors(docs.repartition(4)).collect()}
+    assert all(got[i] <= n for i, n in enumerate(truth.sum(axis=1)))
+    assert sum(got.values()) >= 0.98 * truth.sum()
