@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from lexigrain.llm.common import query, table
 from lexigrain.session import persisted, shuffle_width
 
-#: Turns of the first blocks; later blocks are as wide as the last. Most conversations end in the first.
-WIDTHS = (8, 16, 32, 64)
+#: Turns of the first blocks; later blocks are as wide as the last. Most conversations end in the
+#: first. Spark takes at most 64 grouping sets.
+WIDTHS = (8, 16, 48)
 #: Ids that differ only in so many last bits are joined in one row before the digest.
 ID_RANGE_BITS = 12
 EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
@@ -129,7 +130,7 @@ def _digests(ends: DataFrame) -> DataFrame:
 
 
 def _blocks(sequences: DataFrame, starts: list[tuple[int, int]]) -> DataFrame:
-    """``conv_id, block, ids, is_last``: the turn ids of each block of each conversation."""
+    """``conv_id, block, ids, n_turns``: the turn ids of each block, and the conversation's length."""
     block = F.lit(0)
     for number, (start, _) in enumerate(starts):
         block = F.when(F.col("pos") > start, number).otherwise(block)
@@ -137,12 +138,12 @@ def _blocks(sequences: DataFrame, starts: list[tuple[int, int]]) -> DataFrame:
     return (
         sequences.repartition(shuffle_width(sequences.sparkSession), "conv_id")
         .groupBy("conv_id", block.alias("block"))
-        .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+        .agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.max("pos").alias("last"))
         .select(
             "conv_id",
             "block",
             F.col("turns.id").alias("ids"),
-            (F.max("block").over(Window.partitionBy("conv_id")) == F.col("block")).alias("is_last"),
+            F.coalesce(F.max("last").over(Window.partitionBy("conv_id")), F.lit(0)).alias("n_turns"),
         )
     )
 
@@ -155,8 +156,9 @@ def trie(sequences: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     ``pos`` counts from 1 without gaps; a row with null ``pos`` and ``id`` names a conversation that
     may have no turn. No row gives no node, not even a root.
 
-    A block of turn columns is rolled up at once; only conversations that go on take part in the
-    next block, below the node they have reached. Subtree sums need no walk: every node counts for
+    A block of turn columns is rolled up at once. Conversations that go on take part in the next
+    block, below the node they have reached; where only one has reached it, its further prefixes are
+    its alone and are listed as they are, so blocks end with the longest prefix that is shared. Subtree sums need no walk: every node counts for
     its smallest member, so a subtree's sum is that of its members, which a second ROLLUP gives,
     less what the node's own smallest member has above it.
     """
@@ -165,7 +167,7 @@ def trie(sequences: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     rows = persisted(_blocks(sequences, starts), "blocks")
     later = persisted(rows.filter("block > 0"), "later") if len(starts) > 1 else rows
     same = F.col("l.prior").eqNullSafe(F.col("r.prior")) & (F.col("l.path") == F.col("r.path"))
-    taking_part, nodes, ends = [], [], []
+    taking_part, nodes, ends, alone = [], [], [], []
     prior: DataFrame | None = None
     for number, (start, width) in enumerate(starts):
         here = (later if number else rows).filter(F.col("block") == number).drop("block")
@@ -176,17 +178,16 @@ def trie(sequences: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
         taking_part.append((here, start, width))
         found = _rollup(here.select("conv_id", "ids", "prior"), width, "min(conv_id) AS node, count(*) AS n_convs")
         found = persisted(found.filter("level > 0") if number else found, "nodes")
-        by_path = found.select("prior", "path", "node").alias("r")
+        by_path = found.select("prior", "path", "node", "n_convs").alias("r")
         reached = persisted(
             here.withColumnRenamed("ids", "path").alias("l").join(by_path, same)
-            .select("l.conv_id", "is_last", F.size("l.path").alias("size"), "r.node"),
+            .select("l.conv_id", "n_turns", (F.lit(start) + F.size("l.path")).cast("bigint").alias("depth"), "r.node", "n_convs"),
             "reached",
         )
         depth = (F.lit(start) + F.col("level")).cast("bigint").alias("depth")
-        ends.append(
-            reached.filter("is_last").select("conv_id", "node", (F.lit(start) + F.col("size")).cast("bigint").alias("depth"))
-        )
-        prior = reached.filter(~F.col("is_last")).select("conv_id", F.col("node").alias("prior"))
+        ends.append(reached.filter("depth = n_turns").select("conv_id", "node", "depth"))
+        alone.append(reached.filter("depth < n_turns AND n_convs = 1").select("conv_id", "depth", "n_turns"))
+        prior = reached.filter("depth < n_turns AND n_convs > 1").select("conv_id", F.col("node").alias("prior"))
         size = F.when(F.col("level") > 0, _text_bytes(F.element_at("path", -1))).otherwise(0)
         sized = found.withColumn("value", (F.col("n_convs") - 1) * size)
         columns = [F.col("l.node").alias("conv_id"), depth, "parent_conv_id", "n_convs", "value"]
@@ -196,8 +197,19 @@ def trie(sequences: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
         inner = sized.filter(F.col("level") > (1 if number else 0))
         upper = F.slice("path", F.lit(1), F.col("level") - 1)
         hung = inner.withColumn("path", upper).alias("l").join(by_path, same)
-        nodes.append(hung.withColumn("parent_conv_id", F.col("r.node")).select(*columns))
-
+        nodes.append(hung.select(*columns[:2], F.col("r.node").alias("parent_conv_id"), "l.n_convs", "value"))
+        if number + 1 < len(starts) and prior.isEmpty():
+            break
+
+    lonely = reduce(DataFrame.unionByName, alone)
+    ends.append(lonely.select("conv_id", F.col("conv_id").alias("node"), F.col("n_turns").alias("depth")))
+    further = F.explode(F.sequence(F.col("depth") + 1, F.col("n_turns"))).alias("depth")
+    nodes.append(
+        lonely.select("conv_id", further).select(
+            "conv_id", "depth", F.col("conv_id").alias("parent_conv_id"),
+            F.lit(1).cast("bigint").alias("n_convs"), F.lit(0).cast("bigint").alias("value"),
+        )
+    )
     listed = persisted(reduce(DataFrame.unionByName, nodes), "listed")
     children = listed.filter("depth > 0").groupBy(
         F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")
@@ -224,11 +236,12 @@ def trie(sequences: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     digests = _digests(reduce(DataFrame.unionByName, ends)).withColumnRenamed("node", "conv_id")
     return (
         known.withColumn("above", above)
-        .join(reduce(DataFrame.unionByName, sums), ["conv_id", "depth"])
+        .join(reduce(DataFrame.unionByName, sums), ["conv_id", "depth"], "left")
         .join(digests, ["conv_id", "depth"], "left")
         .select(
-            "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
-            (F.col("total") - F.col("above")).alias("saved_tokens"),
+            "conv_id", "depth", "parent_conv_id", "n_convs", "n_children",
+            F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"),
+            F.coalesce(F.col("total") - F.col("above"), F.lit(0)).alias("saved_tokens"),
             F.coalesce("ends_sha256", F.lit(EMPTY_DIGEST)).alias("ends_sha256"),
         )
     )
