@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm import langid, mixing, near_copies, packing, quality
+from lexigrain.llm import langid, mixing, packing, quality, simhash
 from lexigrain.llm.common import bound_batches
 from lexigrain.session import persisted
 
@@ -18,7 +18,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that are mainly in one learned language; ``und`` and null texts go."""
+    """Keep documents that are mainly in one learned language; ``und`` and null texts go.
+
+    Texts without letters are ``und``. Repeated rows have one language; an empty table stays empty.
+    """
     bound_batches(spark)
     language = langid.language_of(spark, langid.learn(docs))(F.col("text"))
     accepted = F.when(language["lang_pred"] != langid.UNKNOWN, language["score"])
@@ -26,7 +29,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the classifier marks 1."""
+    """Keep documents that the classifier marks 1.
+
+    Null and empty texts are scored like any other. Repeated rows have one score. Without labelled
+    documents the classifier marks by its prior; an empty table stays empty.
+    """
     bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     score = quality.quality_of(spark, quality.learn(docs, labels))(F.col("text"))
@@ -36,22 +43,39 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, the one with the smallest id.
 
-    Near copies share at least 0.8 of their 5-word shingles (Jaccard). Of rows that repeat its id one stays. Rows without an id are no group's and stay.
+    Groups are those of the SimHash operator: fingerprints over shingles of 3 words link at 3 or
+    fewer differing bits. Null texts and texts without words are one group. An id names a document,
+    so of rows that repeat an id one stays, whatever their texts; rows without an id are no group's
+    and stay. Rows pass by a semi join with the kept ids; only those that repeat an id are ranked.
     """
-    groups = near_copies.copy_groups(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.join(kept, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("doc"), first.alias("nth"))
-    return named.filter("nth = 1").select("doc.*").unionByName(docs.filter("doc_id IS NULL"))
+    groups = simhash.simhash_groups(docs, shingle=3, most=3)
+    kept = persisted(
+        groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept"
+    )
+    single = docs.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).alias("nth")
+    first = repeated.select(F.struct(*docs.columns).alias("doc"), place).filter("nth = 1").select("doc.*")
+    columns = docs.columns
+    return single.select(columns).unionByName(first).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and cut sources to their targets."""
+    """Repeat and cut sources to their targets.
+
+    A null source is a source, a null or empty text has no words and takes no part; repeated rows
+    are documents of their own. A text that is cut at its source's budget is shortened. An empty table
+    stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into windows; the pieces of all documents."""
+    """Pack what is left into windows; the pieces of all documents.
+
+    A null or empty text is its end id alone. Long texts are cut, never dropped; repeated rows are
+    packed as often as they occur. An empty table gives no piece.
+    """
     return packing.pack(docs)
 
 
