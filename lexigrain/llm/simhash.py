@@ -45,9 +45,9 @@ def shingle_hashes(text: object, shingle: int = SHINGLE) -> tuple[bytes, np.ndar
     )
 
 
-def fingerprint(text: object) -> int:
-    """SimHash of a whole text over the hashes of its 3-word shingles; 0 without words."""
-    _, hashes = shingle_hashes(text)
+def fingerprint(text: object, shingle: int = SHINGLE) -> int:
+    """SimHash of a whole text over the hashes of its word shingles; 0 without words."""
+    _, hashes = shingle_hashes(text, shingle)
     n = len(hashes)
     if not n:
         return 0
@@ -146,7 +146,9 @@ def forest(prints: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
     return links
 
 
-def _group_links(nodes: np.ndarray, prints: np.ndarray, group: np.ndarray) -> np.ndarray:
+def _group_links(
+    nodes: np.ndarray, prints: np.ndarray, group: np.ndarray, most: int = MOST_BITS
+) -> np.ndarray:
     """Links inside each run of equal ``group`` numbers, as rows (u, v) of nodes."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.append(starts, len(group)))
@@ -155,12 +157,12 @@ def _group_links(nodes: np.ndarray, prints: np.ndarray, group: np.ndarray) -> np
     left, right = [], []
     for step in range(1, min(16, int(sizes.max(initial=1)))):
         same = (group[step:] == group[:-step]) & small[step:]
-        near = same & (np.bitwise_count(prints[step:] ^ prints[:-step]) <= MOST_BITS)
+        near = same & (np.bitwise_count(prints[step:] ^ prints[:-step]) <= most)
         at = np.flatnonzero(near)
         left.append(at)
         right.append(at + step)
     for start, size in zip(starts[sizes > 16], sizes[sizes > 16]):
-        links = np.array(forest(prints[start : start + size]), np.int64).reshape(-1, 2) + start
+        links = np.array(forest(prints[start : start + size], most), np.int64).reshape(-1, 2) + start
         left.append(links[:, 0])
         right.append(links[:, 1])
     if not left:
@@ -169,46 +171,71 @@ def _group_links(nodes: np.ndarray, prints: np.ndarray, group: np.ndarray) -> np
     return np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """``doc_id, print`` of every whole text, the 64 bits as a signed number."""
 
     def computed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "print": found})
 
     rows = spread(docs, [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")])
     return rows.mapInPandas(computed, "doc_id long, print long")
 
 
-def near_links(distinct: DataFrame, part: int = PART) -> DataFrame:
-    """Links ``u, v`` between nodes whose fingerprints differ in at most three bits.
+#: Keys of a fingerprint on average, and all keys there are: a pair of segments and two indices.
+KEYS_PER_PRINT, ALL_KEYS = 84, 3 << 2 * DIMENSION
 
-    ``distinct`` is a stored table ``node, print`` with one row per fingerprint. Not all pairs are
-    returned, but every linked pair is connected by links inside some key.
 
-    First a pass counts keys within batches; a key that may have more than ``part`` prints is cut
-    into parts by a hash, and each pair of its parts becomes a group, so a group is bounded (by
-    twice ``part`` and what single rows of batches hide) and none of its pairs is lost. Then keys
-    are shuffled, sorted, and read as a stream of groups.
+def hot_slots(distinct: DataFrame, part: int) -> tuple[int, DataFrame]:
+    """Slots of keys that may hold a key with more than ``part`` prints: their number, and ``slot, parts``.
+
+    A key's slot is its remainder modulo the returned number of slots, which grows with the prints
+    up to one slot per key. Every key of every print is counted, first in an array of slots inside
+    each task, so one key spread thinly over all tasks is found like any other. A slot's count is
+    at least that of each of its keys; ``parts`` is how many parts of ``part`` prints it makes.
     """
-    spark = distinct.sparkSession
+    wanted = KEYS_PER_PRINT * distinct.count() * 8 // part
+    slots = min(ALL_KEYS, 1 << max(10, wanted.bit_length()))
 
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(slots, np.int32)
         for batch in batches:
             _, keys = keys_of(batch["print"].to_numpy(np.int64).view(np.uint64))
-            key, n = np.unique(keys, return_counts=True)
-            yield pd.DataFrame({"key": key[n > 1].astype(np.int32), "n": n[n > 1]})
-
-    hot = persisted(
+            slot, n = np.unique(keys % slots, return_counts=True)
+            total[slot] += n.astype(np.int32)
+        met = np.flatnonzero(total)
+        for at in range(0, len(met), 1 << 16):
+            some = met[at : at + (1 << 16)]
+            yield pd.DataFrame({"slot": some.astype(np.int32), "n": total[some].astype(np.int64)})
+
+    hot = (
         distinct.select("print")
-        .mapInPandas(counted, "key int, n long")
-        .groupBy("key")
+        .mapInPandas(counted, "slot int, n long")
+        .groupBy("slot")
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") > part)
-        .select("key", F.ceil(F.col("n") / part).cast("int").alias("parts")),
-        "hot-keys",
+        .select("slot", F.ceil(F.col("n") / part).cast("int").alias("parts"))
     )
+    return slots, persisted(hot, "hot-slots")
+
+
+def near_links(distinct: DataFrame, part: int = PART, most: int = MOST_BITS) -> DataFrame:
+    """Links ``u, v`` between nodes whose fingerprints differ in at most ``most`` (three) bits.
+
+    ``distinct`` is a stored table ``node, print`` with one row per fingerprint. Not all pairs are
+    returned, but every linked pair is connected by links inside some key.
+
+    First all keys are counted. A key that may have more than ``part`` prints is cut into parts by a
+    hash, and each pair of its parts becomes a group, so a group has about twice ``part`` prints and
+    none of its pairs is lost. Then keys are shuffled, sorted, and read as a stream of groups.
+    """
+    if most > 3:
+        raise ValueError("two segments share an index up to three differing bits only")
+    spark = distinct.sparkSession
+    slots, hot = hot_slots(distinct, part)
 
     def keyed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -229,6 +256,7 @@ def near_links(distinct: DataFrame, part: int = PART) -> DataFrame:
                 frame["node"].to_numpy(np.int64),
                 frame["print"].to_numpy(np.int64).view(np.uint64),
                 np.concatenate([[0], np.cumsum(changed)]),
+                most,
             )
             return pd.DataFrame(found, columns=["u", "v"])
 
@@ -255,7 +283,8 @@ def near_links(distinct: DataFrame, part: int = PART) -> DataFrame:
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
         rows = (
-            rows.join(hot, "key", "left")
+            rows.withColumn("slot", F.col("key") % slots)
+            .join(hot, "slot", "left")
             .select("key", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"), "node", "print")
             .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "print")
         )
@@ -267,11 +296,17 @@ def near_links(distinct: DataFrame, part: int = PART) -> DataFrame:
 
 
 def simhash_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: int = PART
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    part: int = PART,
+    shingle: int = SHINGLE,
+    most: int = MOST_BITS,
 ) -> DataFrame:
     """Fingerprint and group of every document: ``doc_id, fingerprint, component_id``.
 
-    Fingerprints link at three or fewer differing bits; the component is the smallest id reachable.
+    Fingerprints are over shingles of ``shingle`` words and link at ``most`` or fewer differing bits,
+    at most three; the component is the smallest id reachable.
     Documents with one fingerprint are one node, so exact copies are never paired.
 
     A null text and a text without words have fingerprint 0 and are linked like any other. A null id
@@ -279,12 +314,12 @@ def simhash_groups(
     such documents are no one's link). Repeated rows each give a row. An empty table gives none.
     Only the two named columns are read.
     """
-    prints = persisted(fingerprints(docs, doc_id, text), "prints")
+    prints = persisted(fingerprints(docs, doc_id, text, shingle), "prints")
     distinct = persisted(
         prints.groupBy("print").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"),
         "nodes",
     )
-    groups = components(near_links(distinct, part))
+    groups = components(near_links(distinct, part, most))
     of_print = distinct.join(groups, "node", "left").select(
         "print", F.coalesce("component", "node").alias("component_id")
     )

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from lexigrain.llm import near_copies, simhash, vector_graph
+from lexigrain.llm import simhash, vector_graph
 from lexigrain.llm.components import components
 
 CLASHING = "doc_id long, text string, print long, node long, component_id string, key int"
@@ -93,44 +93,40 @@ def test_groups_of_repeated_rows_null_ids_and_an_empty_table(spark):
     assert empty.columns == ["doc_id", "fingerprint", "component_id"] and empty.count() == 0
 
 
-def plain_shingles(text):
-    words = (text or "").lower().split()
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def planted_copies():
-    """Texts in groups of a base and copies with a few words replaced, over similarities of 0.6 to 1."""
-    rng = random.Random(11)
-    texts = [None, "", " \t", "one", "ONE", "a b c d e", "a b c d e f"]
-    for _ in range(60):
-        base = [f"w{rng.randrange(20_000)}" for _ in range(rng.randrange(100, 500))]
-        texts.append(" ".join(base))
-        for _ in range(4):
-            words = list(base)
-            for at in rng.sample(range(len(words)), rng.randrange(len(words) // 25)):
-                words[at] = f"x{rng.randrange(10**6)}"
-            texts.append(" ".join(words))
-    return texts + texts[20:24]
-
-
-@pytest.mark.parametrize("part, group_texts", [(near_copies.PART, near_copies.GROUP_TEXTS), (2, 2)])
-def test_near_copies_at_a_jaccard_similarity_of_four_fifths(spark, part, group_texts):
-    texts = planted_copies()
-    sets = [plain_shingles(t) for t in texts]
-
-    def jaccard(i, j):
-        return len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] or sets[j] else 1.0
-
-    planted = [jaccard(i, j) for i in range(len(texts)) for j in range(i)]
-    assert sum(0.8 <= s < 0.95 for s in planted) > 100 and sum(0.6 < s < 0.8 for s in planted) > 50
-    label = plain_components(len(texts), lambda i, j: jaccard(i, j) >= 0.8)
-    docs = spark.createDataFrame(
-        [(100 + i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, node long, key string"
-    ).repartition(3)
-    got = {r.doc_id: r.component_id for r in near_copies.copy_groups(docs, part=part, group_texts=group_texts).collect()}
-    assert got == {100 + i: 100 + c for i, c in enumerate(label)}
-    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()}
-    assert kept == {100 + c for c in label}
+def test_stage_keeps_the_smallest_of_each_simhash_group(spark):
+    texts = near_texts()
+    prints = [plain_fingerprint(t) for t in texts]
+    label = plain_components(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    rows = [(100 + i, t, "x", 3) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string, component_id int").repartition(3)
+    kept = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {100 + c for c in label}
+    assert corpus_pipeline.without_near_copies(spark, docs.limit(0), "").collect() == []
+
+
+def test_a_key_spread_one_per_batch_is_counted_and_split(spark):
+    # all prints share the last segments, so they share keys; no batch holds two of them
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 1 << 63, 4000, dtype=np.int64)
+    prints[::20] = (prints[::20] & ((1 << 22) - 1)) | (0x15A5A5A5A5 << 22)
+    rows = [(i, int(p)) for i, p in enumerate(prints)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        distinct = simhash.persisted(spark.createDataFrame(rows, "node long, print long").coalesce(1), "spread")
+        slots, hot = simhash.hot_slots(distinct, 50)
+        parts = {r.slot: r.parts for r in hot.collect()}
+        links = {(r.u, r.v) for r in simhash.near_links(distinct, 50).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    _, keys = simhash.keys_of(prints.view(np.uint64))
+    key, n = np.unique(keys, return_counts=True)
+    assert n.max() >= 200
+    assert all(parts[k % slots] >= -(-c // 50) for k, c in zip(key[n > 50].tolist(), n[n > 50].tolist()))
+    label = plain_components(200, lambda i, j: int(prints[20 * i] ^ prints[20 * j]).bit_count() <= 3)
+    close = {(i, c) for i, c in enumerate(label) if c != i}
+    assert len(links) >= len(close)
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -225,6 +221,25 @@ def test_links_between_tight_groups_of_a_block_are_found():
         assert not (hits & ~truth).any() and (hits & truth).sum() >= 0.95 * truth.sum()
 
 
+def test_spread_out_vectors_join_few_shards_and_keep_their_links(spark):
+    rng = np.random.default_rng(7)
+    ones = rng.normal(size=(20_000, 64))
+    ones /= np.linalg.norm(ones, axis=1, keepdims=True)
+    moved = ones[:100] + 0.37 * (x := rng.normal(size=(100, 64))) / np.linalg.norm(x, axis=1, keepdims=True)
+    points = np.concatenate([ones, moved / np.linalg.norm(moved, axis=1, keepdims=True)])
+    truth = sum(int((points[i] @ points.T >= 0.93).sum()) - 1 for i in range(20_000, 20_100))
+    assert truth >= 80
+    sample = points[rng.choice(len(points), 4_000, replace=False)]
+    frame = vector_graph.pd.DataFrame({"space": "a", "node": range(4_000), "vector": list(sample)})
+    cells = vector_graph.centres(frame, {"a": len(points)})["a"]
+    margin = vector_graph.probe_margin(sample, cells, 0.93)
+    shards = (vector_graph.beyond(points, cells) <= margin).sum(axis=1).mean()
+    assert len(cells) > 30 and shards < 4
+    docs = spark.createDataFrame(vector_graph.pd.DataFrame({"vec_id": range(len(points)), "embedding": points.tolist(), "label": 1}))
+    found = vector_graph.near_vectors(docs).filter("vec_id >= 20000").toPandas()
+    assert found.n_links.sum() >= 0.95 * truth
+
+
 def test_links_across_many_shards_are_found(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "PER_CENTRE", 50)
     rng = np.random.default_rng(6)
