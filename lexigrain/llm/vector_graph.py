@@ -18,15 +18,16 @@ LEAST_COSINE = 0.93
 SAMPLE = 20_000
 #: Vectors per centre, and centres in all.
 PER_CENTRE, MOST_CENTRES, ROUNDS = 600, 2_048, 8
-#: Audited vectors of all large spaces (about so many), links they need for a measured overlap, and the
-#: share of them whose ends share a shard.
-AUDITED, LEAST_LINKS, SHARED = 2_000, 1_000, 0.99
+#: Audited vectors of all large spaces (about so many), probes of each space, and the share of links and
+#: of probes whose ends share a shard.
+AUDITED, PROBES, SHARED = 2_000, 8_000, 0.99
 #: Vectors that meet in one task. A larger shard is cut into parts; each pair of parts is a block.
 BLOCK = 4_096
-#: Out-degree, candidates and slack of the pruned graph; width of the greedy search.
-DEGREE, CANDIDATES, SLACK, BEAM = 24, 64, 1.2, 16
+#: Out-degree, candidates and slack of the pruned graph; most neighbours with those that chose a point;
+#: width of the greedy search.
+DEGREE, CANDIDATES, SLACK, MOST_NEAR, BEAM = 24, 64, 1.2, 48, 8
 #: Vectors whose id this divides are the audit's queries, and so many more that each block has some; a
-#: block below the recall, or without a link of the audit's queries, is compared exactly.
+#: block below the recall of their links and nearest neighbours is compared exactly.
 AUDIT_EVERY, LEAST_AUDITED, LEAST_RECALL = 50, 64, 0.95
 
 MEMBERS = "space string, shard int, shards array<int>, node long, copies long, vector array<double>"
@@ -73,15 +74,36 @@ def half_sine(least: float) -> float:
     return float(np.sqrt(max(0.0, (1 - least) / 2))) + 1e-9
 
 
+def probe_margin(sample: np.ndarray, cells: np.ndarray, least: float) -> float:
+    """Least margin at which the wanted share of probes share a shard with their vector.
+
+    A probe lies at a cosine of ``least`` from a vector of the sample, in the direction of another one, as
+    differences between vectors of the space lie. So a margin is measured where there are no links too.
+    """
+    rng = np.random.default_rng(len(cells))
+    sine = np.sqrt(1 - least * least)
+    needed = []
+    for at in range(0, PROBES, 1_000):
+        start = sample[rng.integers(0, len(sample), min(1_000, PROBES - at))]
+        end = sample[rng.integers(0, len(sample), len(start))]
+        way = end - np.einsum("nd,nd->n", end, start)[:, None] * start
+        length = np.linalg.norm(way, axis=1)
+        probe = least * start + sine * way / np.where(length > 1e-9, length, 1)[:, None]
+        far = np.maximum(beyond(start, cells), beyond(probe, cells)).min(axis=1)
+        needed.append(far[length > 1e-9])
+    found = np.concatenate(needed)
+    return float(np.quantile(found, SHARED)) if len(found) else 0.0
+
+
 def margins(
-    vectors: DataFrame, found: dict[str, np.ndarray], least: float, audited: int = AUDITED
+    vectors: DataFrame, found: dict[str, np.ndarray], probed: dict[str, float], least: float, audited: int = AUDITED
 ) -> dict[str, float]:
-    """Margin of each space within which a vector joins shards, from its audit.
+    """Margin of each space within which a vector joins shards: what probes and the audit need.
 
     The audit's queries are the vectors whose id ``AUDIT_EVERY`` divides, drawn by a hash where there
     are more than ``audited``. They are compared with all vectors of their space, and each link needs a margin
-    at which its ends share a shard. The margin is the least that holds for the wanted share of
-    links; with few links it is the one that loses none.
+    at which its ends share a shard. The margin is the least that holds for the wanted share of links and for
+    that of probes (``probed``), and never more than the one that loses no pair.
     """
     spark = vectors.sparkSession
     most = half_sine(least)
@@ -100,8 +122,10 @@ def margins(
                     continue
                 ids, wanted = queries[space]
                 rows = np.array(group["vector"].tolist())
-                own = beyond(rows, cells[space])
                 u, q = np.nonzero((rows @ wanted.T >= least) & (group["node"].to_numpy()[:, None] != ids))
+                if not len(u):
+                    continue
+                own = beyond(rows, cells[space])
                 steps = np.zeros(len(u), np.int64)
                 for at in range(0, len(u), 1 << 13):
                     part = slice(at, at + (1 << 13))
@@ -115,12 +139,11 @@ def margins(
         counted.mapInPandas(compared, "space string, step long, n long")
         .groupBy("space", "step").agg(F.sum("n").alias("n")).toPandas()
     )
-    out = dict.fromkeys(found, most)
+    out = {space: min(probed[space], most) for space in found}
     for space, group in steps.sort_values("step").groupby("space"):
         total = group["n"].cumsum().to_numpy()
-        if total[-1] >= LEAST_LINKS:
-            enough = int((total >= SHARED * total[-1]).argmax())
-            out[space] = float(group["step"].iloc[enough]) / 100 * most + 1e-9
+        enough = int((total >= SHARED * total[-1]).argmax())
+        out[space] = max(out[space], float(group["step"].iloc[enough]) / 100 * most + 1e-9)
     return out
 
 
@@ -150,6 +173,27 @@ def prune(vectors: np.ndarray, degree: int = DEGREE) -> list[np.ndarray]:
     return out
 
 
+def neighbours(vectors: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Lists of both directions of the edges ``u, v``, so that a search can leave and enter each point.
+
+    A point keeps the list it chose; those that chose it follow, nearest first, up to ``MOST_NEAR``
+    in all. Rows are filled up with -1.
+    """
+    n = len(vectors)
+    both = np.concatenate([u * n + v, v * n + u])
+    pairs, first = np.unique(both, return_index=True)
+    left, right = np.divmod(pairs, n)
+    chosen = first < len(u)
+    cosine = np.einsum("pd,pd->p", vectors[left], vectors[right]) if len(pairs) else np.zeros(0)
+    order = np.lexsort((-cosine, ~chosen, left))
+    left, right, chosen = left[order], right[order], chosen[order]
+    place = np.arange(len(left)) - np.searchsorted(left, left)
+    kept = chosen | (place < MOST_NEAR)
+    near = np.full((n, int(place[kept].max(initial=0)) + 1), -1, np.int64)
+    near[left[kept], place[kept]] = right[kept]
+    return near
+
+
 def medoids(vectors: np.ndarray, n: int = 4) -> np.ndarray:
     """The point nearest to the mean of all, and of each of a few runs of points."""
     means = [vectors.mean(axis=0)] + [p.mean(axis=0) for p in np.array_split(vectors, n) if len(p)]
@@ -158,8 +202,8 @@ def medoids(vectors: np.ndarray, n: int = 4) -> np.ndarray:
 
 def range_search(
     vectors: np.ndarray, near: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int, least: float
-) -> np.ndarray:
-    """Which points each query finds within the range, as a boolean matrix.
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which points each query finds within the range, and which it meets, as boolean matrices.
 
     First a greedy search from the medoids and the query's own list with a bounded beam, all queries side by side; then the
     search widens over the neighbours of every point found in range until nothing is added.
@@ -219,7 +263,7 @@ def range_search(
             keep[part] = np.einsum("pd,pd->p", target[rows[part]], vectors[points[part]]) >= least
         rows, points = rows[keep], points[keep]
         hits[rows, points] = True
-    return hits
+    return hits, seen
 
 
 def search_block(
@@ -227,22 +271,27 @@ def search_block(
 ) -> np.ndarray:
     """Links between all points of a block as a symmetric boolean matrix.
 
-    The audit compares its queries, the given ones and some spread over the block, with all points.
-    If the search finds less of their links than the recall, or they have none that would show it,
-    all points are compared.
+    The audit compares its queries, the given ones and some spread over the block, with all points:
+    what they are to find is their links and their nearest neighbour, which there always is. If the
+    search meets less of that than the recall, all points are compared.
     """
     m, entry = len(vectors), medoids(vectors)
     some = np.linspace(0, m - 1, min(m, LEAST_AUDITED)).astype(np.int64)
     audited = np.union1d(np.asarray(audited, np.int64), some)
-    truth = vectors[audited] @ vectors.T >= least
-    truth[np.arange(len(audited)), audited] = False
-    hits = np.zeros((m, m), bool)
-    if truth.any():
-        for at in range(0, m, 256):
-            queries = np.arange(at, min(at + 256, m))
-            hits[queries] = range_search(vectors, near, queries, entry, BEAM, least)
-        hits |= hits.T
-    if not truth.any() or (hits[audited] & truth).sum() < LEAST_RECALL * truth.sum():
+    cosine = vectors[audited] @ vectors.T
+    cosine[np.arange(len(audited)), audited] = -2
+    truth = cosine >= least
+    if m > 1:
+        truth[np.arange(len(audited)), cosine.argmax(axis=1)] = True
+    hits, met = np.zeros((m, m), bool), np.zeros((len(audited), m), bool)
+    for at in range(0, m, 256):
+        queries = np.arange(at, min(at + 256, m))
+        hits[queries], seen = range_search(vectors, near, queries, entry, BEAM, least)
+        mine = (at <= audited) & (audited < at + 256)
+        met[mine] = seen[audited[mine] - at]
+    hits |= hits.T
+    met |= hits[audited]
+    if (met & truth).sum() < LEAST_RECALL * truth.sum():
         for at in range(0, m, 512):
             hits[at : at + 512] |= vectors[at : at + 512] @ vectors.T >= least
         hits |= hits.T
@@ -273,7 +322,9 @@ def _members(vectors: DataFrame, sample_rows: int, least: float) -> DataFrame:
     )
     sizes = {r["space"]: r["count"] for r in large.join(spaces, "space").collect()}
     found = centres(sample[sample["space"].isin(list(sizes))], sizes)
-    shared = spark.sparkContext.broadcast((found, margins(vectors, found, least) if found else {}))
+    drawn = {s: np.array(g.sort_values("node")["vector"].tolist()) for s, g in sample.groupby("space") if s in found}
+    probed = {s: probe_margin(drawn[s], cells, least) for s, cells in found.items()}
+    shared = spark.sparkContext.broadcast((found, margins(vectors, found, probed, least) if found else {}))
     names = [c.split()[0] for c in MEMBERS.split(", ")]
 
     def assigned(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -380,15 +431,8 @@ def near_vectors(
         of = np.repeat(np.arange(len(ids)), [len(n) for n in lists])
         at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
         here = ids[at] == flat
-        # both directions, so that a search can leave and enter every point
-        u, v = np.concatenate([of[here], at[here]]), np.concatenate([at[here], of[here]])
-        pairs = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        degree = np.bincount(pairs[:, 0], minlength=len(ids))
-        # hubs keep the list they chose and as many of those that chose them
-        column = np.arange(len(pairs)) - np.repeat(np.cumsum(degree) - degree, degree)
-        near = np.full((len(ids), max(1, int(degree.max(initial=1)))), -1, np.int64)
-        near[pairs[:, 0], column] = pairs[:, 1]
         vectors_here = np.array(group["vector"].tolist())
+        near = neighbours(vectors_here, of[here], at[here])
         links = search_block(vectors_here, near, np.flatnonzero(ids % AUDIT_EVERY == 0), least)
         # the shards before this one, as bits
         shard = int(group["shard"].iloc[0])
