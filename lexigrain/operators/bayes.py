@@ -110,3 +110,75 @@ def predictive_terms(df: DataFrame, label: str, token_array: Column, n: int = 20
     )
     scored = joined.select(label, "term", F.round(inside - outside, 9).alias("score"))
     return top_per_group(scored, [label], [F.col("score").desc(), F.col("term")], n)
+
+
+def predict_held_out(
+    df: DataFrame, label: str, token_array: Column, fold: str = "fold", doc_id: str = "doc_id"
+) -> DataFrame:
+    """``doc_id, fold, label, predicted, score``: every document judged by the model of the other folds.
+
+    Terms are counted once, per label and fold. The model that holds out a fold has the totals less
+    that fold's counts, so all folds cost one count. Terms unknown to the other folds are left out. Labels are
+    compared on scores of six digits, equal ones go to the first in order.
+    """
+    rows = df.select(label, fold, F.explode(token_array).alias("term"))
+    counts = persisted(rows.groupBy(label, fold, "term").agg(F.count(F.lit(1)).alias("c")), "fold_terms")
+    docs = persisted(df.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n_docs")), "fold_docs")
+    folds = docs.select(F.col(fold).alias("held")).distinct()
+    # a term has at most one entry per class and fold
+    entries = F.collect_list(F.struct(F.col(label).cast("string").alias("label"), F.col(fold).alias("fold"), "c"))
+    terms = counts.groupBy("term").agg(entries.alias("entries"), F.sum("c").alias("total"))
+    # one row per fold
+    held = terms.crossJoin(F.broadcast(folds))
+    others = F.filter("entries", lambda e: e["fold"] != F.col("held"))
+    named = F.array_distinct(F.transform("others", lambda e: e["label"]))
+    logs = F.transform(
+        named,
+        lambda k: F.struct(
+            k.alias("key"),
+            F.aggregate(
+                F.filter("others", lambda e: e["label"] == k), F.lit(0).cast("bigint"), lambda a, e: a + e["c"]
+            ).alias("value"),
+        ),
+    )
+    known = persisted(
+        held.withColumn("others", others).filter(F.size("others") > 0).select("term", "held", "total", logs.alias("counts")),
+        "held_terms",
+    )
+    vocabulary = known.groupBy("held").agg(F.count(F.lit(1)).alias("v"))
+    # one row per class and fold from here on
+    grid = docs.select(label).distinct().crossJoin(F.broadcast(folds))
+    train = (F.col(fold) != F.col("held"))
+    docs_in = grid.join(docs, label).filter(train).groupBy("held", label).agg(F.sum("n_docs").alias("n_docs"))
+    tokens = counts.groupBy(label, fold).agg(F.sum("c").alias("n"))
+    tokens_in = grid.join(tokens, label).filter(train).groupBy("held", label).agg(F.sum("n").alias("n_tokens"))
+    all_docs = docs_in.groupBy("held").agg(F.sum("n_docs").alias("all_docs"))
+    classes = (
+        docs_in.join(tokens_in, ["held", label], "left").join(all_docs, "held").join(vocabulary, "held", "left")
+        .select(
+            "held",
+            F.col(label).cast("string").alias("_label"),
+            F.log(F.col("n_docs") / F.col("all_docs")).alias("log_prior"),
+            F.log(F.coalesce("n_tokens", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("log_total"),
+        )
+    )
+    at = df.select(doc_id, F.col(fold).alias("held"))
+    counted = doc_terms(df, token_array, doc_id).join(at, doc_id)
+    met = lookup_join(counted, known, ["term", "held"], "total", [doc_id])
+    lengths = met.groupBy(doc_id).agg(F.sum("n").alias("_len"))
+    sums = met.select(doc_id, "n", F.inline("counts").alias("_label", "_c")).groupBy(doc_id, "_label").agg(
+        F.sum(F.col("n") * F.log(F.col("_c") + 1.0)).alias("_sum")
+    )
+    scored = (
+        df.select(doc_id, label, F.col(fold).alias("held"))
+        .join(F.broadcast(classes), "held")
+        .join(sums, [doc_id, "_label"], "left")
+        .join(lengths, doc_id, "left")
+    )
+    score = F.round(
+        F.col("log_prior") + F.coalesce("_sum", F.lit(0.0)) - F.coalesce("_len", F.lit(0)) * F.col("log_total"), 6
+    )
+    best = F.min(F.struct((-score).alias("score"), F.col("_label").alias("label")))
+    return scored.groupBy(doc_id, label, "held").agg(best.alias("best")).select(
+        doc_id, F.col("held").alias(fold), label, F.col("best.label").alias("predicted"), (-F.col("best.score")).alias("score")
+    )

@@ -1,17 +1,19 @@
-"""``pyspark.ml`` pipelines: reductions, topics, word vectors, classifiers and model search."""
+"""Reductions, topics, word vectors, classifiers of ``pyspark.ml``, and model search."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.classification import NaiveBayes as MLNaiveBayes
@@ -23,7 +25,6 @@ from pyspark.ml.feature import (
     CountVectorizer,
     Normalizer,
     StandardScaler,
-    VectorSlicer,
     Word2Vec,
 )
 from pyspark.ml.functions import vector_to_array
@@ -32,8 +33,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions.numeric import argmax
-from lexigrain.operators.features import as_vectors, doc_terms, filter_tokens, fit_features
+from lexigrain.operators import machines, subtrees, trees
+from lexigrain.operators.features import doc_terms, filter_tokens, fit_features
 from lexigrain.operators.joins import lookup_join
+from lexigrain.operators.splits import bootstrap
 from lexigrain.operators.vocab import top_tokens
 from lexigrain.session import persisted
 
@@ -146,16 +149,9 @@ def random_forest(trees: int = 200, max_depth: int = 3, seed: int = 0, **setting
     return RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, **settings)
 
 
-def linear_svm(
-    features: str = "features", label: str = "label", parallelism: int = 4, max_iter: int = 50
-) -> Estimator:
-    """One linear machine per class on standardised features, several trained side by side."""
-    scale = StandardScaler(inputCol=features, outputCol="scaled", withMean=True)
-    machine = LinearSVC(featuresCol="scaled", labelCol=label, tol=1e-4, maxIter=max_iter)
-    per_class = OneVsRest(
-        classifier=machine, featuresCol="scaled", labelCol=label, parallelism=parallelism
-    )
-    return Pipeline(stages=[scale, per_class])
+def binary_svm(features: str = "features", label: str = "label", max_iter: int = 50) -> Estimator:
+    """A linear machine for two classes on sparse vectors of any width; see ``machines`` for more classes."""
+    return LinearSVC(featuresCol=features, labelCol=label, tol=1e-4, maxIter=max_iter)
 
 
 def logistic_regression(n_rows: int, label: str = "label", **settings: object) -> Estimator:
@@ -228,6 +224,87 @@ def compare(
     return train.sparkSession.createDataFrame(rows, "model_name string, accuracy double")
 
 
+def _projections(
+    vectors: DataFrame, width: int, widths: Sequence[int], longest: int
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Mean of the dense rows, and for each width the principal components of so many first features.
+
+    One pass sums the products of all pairs of features; each width's covariance is a corner of it.
+    Components are columns, as many as rows and features allow, largest entry positive.
+    """
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width)
+        return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+
+    found = machines.summed(vectors.select("features"), part, 1 + width + width * width)
+    n, mean = found[0], found[1 : 1 + width] / max(found[0], 1)
+    covariance = found[1 + width :].reshape(width, width) / max(n, 1) - np.outer(mean, mean)
+    out = []
+    for used in widths:
+        _, axes = np.linalg.eigh(covariance[:used, :used])
+        axes = axes[:, ::-1][:, : max(1, min(longest, int(n), used))]
+        sign = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+        out.append(axes * np.where(sign == 0, 1, sign))
+    return mean, out
+
+
+def _projected(vectors: DataFrame, doc_id: str, label: str, mean: np.ndarray, axes: list[np.ndarray]) -> DataFrame:
+    """``row_id, label, features``: the components of all widths, one after the other."""
+    shared = vectors.sparkSession.sparkContext.broadcast((mean, axes))
+
+    def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, axes = shared.value
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(mean))
+            found = np.concatenate([(x - mean)[:, : len(a)] @ a for a in axes], axis=1)
+            offsets = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
+            column = pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_id"), batch.column("label"), column], names=["row_id", "label", "features"]
+            )
+
+    rows = vectors.select(
+        F.col(doc_id).cast("long").alias("row_id"), F.col(label).cast("int").alias("label"), "features"
+    )
+    return rows.mapInArrow(project, "row_id long, label int, features array<double>")
+
+
+def _deep_forests(
+    known: DataFrame, weights: DataFrame, n_classes: int, depth: int, columns: Sequence[tuple[int, int]]
+) -> DataFrame:
+    """Node tables of one forest per range of features, all grown to ``depth``."""
+    width = max(end for _, end in columns)
+    if known.count() * width <= subtrees.SHARED_CELLS:
+        return persisted(subtrees.grow_shared(known, weights, n_classes, depth, columns), "forests")
+    n_trees = weights.agg(F.max("tree_id")).first()[0] + 1
+    grown = []
+    for i, (first, end) in enumerate(columns):
+        part = known.withColumn("features", F.slice("features", first + 1, end - first))
+        nodes = trees.forest(part, weights, end - first, n_classes, depth)
+        shifted = nodes.withColumn("tree_id", F.col("tree_id") + i * n_trees)
+        grown.append(shifted.withColumn("feature_idx", F.col("feature_idx") + first))
+    return reduce(DataFrame.unionByName, grown)
+
+
+def _accuracies(
+    asked: DataFrame, nodes: DataFrame, most: int, used: int, forests: int, depths: Sequence[int]
+) -> dict[tuple[int, int], float]:
+    """Accuracy of the first ``used`` of ``most`` trees of every forest, if trees ended at each depth."""
+    tree, forest = F.col("tree_id") % most, F.floor(F.col("tree_id") / most)
+    first = nodes.filter(tree < used).withColumn("tree_id", (forest * used + tree).cast("int"))
+    judged = subtrees.forest_predictions(asked, first, depths, forests, ["label"])
+    if judged is None:
+        parts = []
+        for i, depth in product(range(forests), depths):
+            mine = nodes.filter((forest == i) & (tree < used)).withColumn("tree_id", tree.cast("int"))
+            votes = trees.majority(trees.predict(asked, persisted(trees.cut(mine, depth), "cut"), "label"), "label")
+            parts.append(votes.select(F.lit(i).alias("forest"), F.lit(depth).alias("depth"), "label", "predicted"))
+        judged = reduce(DataFrame.unionByName, parts)
+    right = F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy")
+    return {(r.forest, r.depth): r.accuracy for r in judged.groupBy("forest", "depth").agg(right).collect()}
+
+
 def grid_search(
     train: DataFrame,
     validation: DataFrame,
@@ -239,17 +316,20 @@ def grid_search(
 ) -> DataFrame:
     """Validation accuracy of every grid point, with the best one marked; the first wins a tie.
 
-    Label codes are in column ``label``. What grid points share is computed once: tokens are ranked
-    once for the longest list, terms once per list for the widest matrix, components once per
-    matrix for the longest projection, and shorter ones are prefixes. Library trees end at depth 30,
-    so a deeper grid is an error.
+    Label codes 0 to K-1 are in column ``label``. Shared between points: tokens are ranked once for the
+    longest list, and per list one pass gives the covariance of the widest matrix, whose corners are
+    those of narrower ones. Shorter projections are prefixes of the longest. Of the points that differ in
+    projection and depth all forests are grown in one job, once, to the deepest level; a shallower tree is the
+    same tree cut at its depth, and a smaller forest the first trees of the largest.
     """
-    if max(grid["max_depth"]) > 30:
-        raise ValueError("library trees have at most 30 levels; use trees.grow beyond them")
     ranked = persisted(
         top_tokens(train, label, token_array, max(grid["top_tokens"]), doc_id), "ranked"
     )
     widest, longest = max(grid["top_features"]), max(grid["components"])
+    depths, most = list(dict.fromkeys(grid["max_depth"])), max(grid["trees"])
+    n_classes = train.agg(F.max(label)).first()[0] + 1
+    keys = train.select(F.col(doc_id).cast("long").alias("row_id"))
+    weights = persisted(bootstrap(keys, "row_id", most, seed), "weights")
     found: dict[tuple[int, ...], float] = {}
     for n_tokens in dict.fromkeys(grid["top_tokens"]):
         kept = ranked.filter(F.col("rk") <= n_tokens)
@@ -258,42 +338,28 @@ def grid_search(
             tokens = filter_tokens(part, token_array, kept, doc_id)
             parts[name] = persisted(part.select(doc_id, label).join(tokens, doc_id), name)
         fitted = fit_features(parts["train"], F.col("tokens"), widest, doc_id=doc_id)
-        width = fitted.table.count()
+        width = max(1, fitted.table.count())
         vectors = {}
         for name, part in parts.items():
             dense = fitted.vectors(part, F.col("tokens"), width, doc_id)
             vectors[name] = persisted(part.select(doc_id, label).join(dense, doc_id), name)
-        n_rows = vectors["train"].count()
-        for n_features in dict.fromkeys(grid["top_features"]):
-            used = min(n_features, width)
-            cut = {
-                name: as_vectors(part.withColumn("features", F.slice("features", 1, used)))
-                for name, part in vectors.items()
-            }
-            reduced = reduction(longest, n_rows, used).fit(cut["train"])
-            available = max(1, min(longest, n_rows, used))
-            projected = {
-                name: persisted(
-                    reduced.transform(part).select(doc_id, label, "components"), name
-                )
-                for name, part in cut.items()
-            }
-            for k in dict.fromkeys(grid["components"]):
-                first = VectorSlicer(
-                    inputCol="components", outputCol="features",
-                    indices=list(range(min(k, available))),
-                )
-                for depth, trees in product(grid["max_depth"], grid["trees"]):
-                    forest = random_forest(
-                        trees, depth, seed, labelCol=label, featuresCol="features"
-                    )
-                    model = Pipeline(stages=[first, forest]).fit(projected["train"])
-                    score = _accuracy(model.transform(projected["validation"]), label)
-                    found[(n_tokens, n_features, k, depth, trees)] = score
+        features = list(dict.fromkeys(grid["top_features"]))
+        mean, axes = _projections(vectors["train"], width, [min(n, width) for n in features], longest)
+        rows = {n: persisted(_projected(v, doc_id, label, mean, axes), n) for n, v in vectors.items()}
+        starts = np.cumsum([0] + [a.shape[1] for a in axes])
+        columns, points = [], []
+        for (i, n_features), k in product(enumerate(features), dict.fromkeys(grid["components"])):
+            columns.append((int(starts[i]), int(starts[i]) + min(k, axes[i].shape[1])))
+            points.append((n_tokens, n_features, k))
+        nodes = _deep_forests(rows["train"], weights, n_classes, max(depths), columns)
+        for used in dict.fromkeys(grid["trees"]):
+            scores = _accuracies(rows["validation"], nodes, most, used, len(columns), depths)
+            for i, depth in product(range(len(columns)), depths):
+                found[(*points[i], depth, used)] = scores.get((i, depth), 0.0)
     order = list(product(*[grid[g] for g in GRID_NAMES]))
-    rows = [(i, *point, found[point]) for i, point in enumerate(order)]
+    rows_of = [(i, *point, found[point]) for i, point in enumerate(order)]
     schema = "place int, " + ", ".join(f"{g} int" for g in GRID_NAMES) + ", accuracy double"
-    scores = train.sparkSession.createDataFrame(rows, schema)
+    scores = train.sparkSession.createDataFrame(rows_of, schema)
     # one row per grid point
     best = F.row_number().over(Window.orderBy(F.col("accuracy").desc(), "place")) == 1
     return scores.withColumn("best", best)

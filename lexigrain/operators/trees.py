@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions.numeric import argmax, entropy
+from lexigrain.operators import subtrees
 from lexigrain.operators.joins import lookup_join
 from lexigrain.session import persisted, shuffle_width
 
@@ -223,9 +224,13 @@ def grow(
     min_information_gain: float = 0.0,
     stop_on_pure: bool = True,
     node_limit: int = NODE_LIMIT,
+    local_rows: int | None = None,
 ) -> DataFrame:
     """Node table of one tree, or of all trees when ``rows`` has ``tree_id`` and ``w``.
 
+    A node of at most ``local_rows`` rows (of ``subtrees.LOCAL_CELLS`` values by default) is grown
+    to its end by one task, so only the levels of larger nodes are jobs of their own.
+
     Each level writes its splits and its remaining rows to the shared folder, which cuts the
     lineage. The driver sees the number of nodes still open and the size of the largest. While
     that is over ``node_limit`` rows, quartiles are found by value range. Leaves hold no split,
@@ -233,6 +238,13 @@ def grow(
     """
     if "tree_id" not in rows.columns:
         rows = rows.withColumn("tree_id", F.lit(0)).withColumn("w", F.lit(1).cast("bigint"))
+    if local_rows is None:
+        local_rows = subtrees.LOCAL_CELLS // max(n_features, 1)
+    rules = {
+        "min_samples_leaf": min_samples_leaf,
+        "min_information_gain": min_information_gain,
+        "stop_on_pure": stop_on_pure,
+    }
     root = F.lit(0).cast("bigint").alias("node_id")
     assigned = persisted(
         rows.select("tree_id", root, "row_id", "features", "label", "w"), "assigned"
@@ -252,6 +264,20 @@ def grow(
         n_open, largest = open_nodes.agg(F.count(F.lit(1)), F.max(_size("counts"))).first()
         if not n_open:
             break
+        small = _size("counts") <= local_rows
+        if largest <= local_rows:
+            done.append(subtrees.grow_nodes(assigned.drop("ranges"), depth, n_classes, max_depth, **rules))
+            break
+        few = persisted(open_nodes.filter(small).select(*NODE, _size("counts").alias("n")), "few")
+        if not few.isEmpty():
+            theirs = lookup_join(assigned, few, NODE, "n", ["row_id"]).select(*assigned.columns)
+            below = subtrees.grow_nodes(theirs.drop("ranges"), depth, n_classes, max_depth, **rules)
+            done.append(persisted(below, "below"))
+            open_nodes = open_nodes.filter(~small)
+            many = persisted(open_nodes.select(*NODE, _size("counts").alias("n")), "many")
+            assigned = persisted(
+                lookup_join(assigned, many, NODE, "n", ["row_id"]).select(*assigned.columns), "assigned"
+            )
         if largest > node_limit and "ranges" not in assigned.columns:
             assigned = persisted(with_ranges(assigned, n_features), "assigned")
         elif largest <= node_limit:
@@ -344,6 +370,38 @@ def predict(rows: DataFrame, nodes: DataFrame, *keep: str) -> DataFrame:
     return found.select("row_id", *keep, "tree_id", "node_id", "predicted")
 
 
+def cut(nodes: DataFrame, depth: int) -> DataFrame:
+    """The node table as if growth had ended at ``depth``: what lies deeper goes, its parents are leaves."""
+    return nodes.filter(F.col("depth") <= depth).withColumn(
+        "is_leaf", F.col("is_leaf") | (F.col("depth") == depth)
+    )
+
+
+def forest_votes(rows: DataFrame, nodes: DataFrame, max_depth: int, *keep: str) -> DataFrame:
+    """``row_id, predicted``: the class most trees vote for, the lowest of equal ones.
+
+    A forest of bounded size descends in arrays inside the tasks that read the rows; a larger one is joined level by level.
+    """
+    found = subtrees.forest_predictions(rows, nodes, [max_depth], keep=keep)
+    if found is None:
+        return majority(predict(rows, nodes, *keep), *keep)
+    return found.select("row_id", *keep, "predicted")
+
+
+def forest(
+    rows: DataFrame, weights: DataFrame, n_features: int, n_classes: int, max_depth: int = 30, **rules
+) -> DataFrame:
+    """Node table of all trees, from ``row_id, features, label`` and bootstrap ``tree_id, row_id, w``.
+
+    Rows of a bounded size are sent to every task, and only the weights are exchanged. Larger ones
+    are joined with their weights and grown level by level until nodes are small.
+    """
+    if rows.count() * n_features <= subtrees.SHARED_CELLS:
+        return persisted(subtrees.grow_shared(rows, weights, n_classes, max_depth, **rules), "forest")
+    drawn = rows.select("row_id", "features", "label").join(weights.select("tree_id", "row_id", "w"), "row_id")
+    return grow(drawn, n_features, n_classes, max_depth, **rules)
+
+
 def vote_shares(votes: DataFrame, n_trees: int) -> DataFrame:
     """Share of the trees that vote for each class; classes without votes give no row."""
     counted = votes.groupBy("row_id", "predicted").agg(F.count(F.lit(1)).alias("n"))

@@ -58,12 +58,11 @@ def baseline(
     known = persisted(rows["train"], "train")
     asked = persisted(rows["test"], "test")
     tree = trees.grow(known, *sizes)
-    drawn = splits.bootstrap(known, "row_id", n_trees, seed)
-    forest = trees.grow(drawn, *sizes)
+    drawn = persisted(splits.bootstrap(known.select("row_id"), "row_id", n_trees, seed), "drawn")
+    forest = trees.forest(known, drawn, *sizes)
     results = []
     for name, nodes in (("decision tree", tree), ("random forest", forest)):
-        votes = trees.predict(asked, nodes, "label")
-        judged = trees.majority(votes, "label")
+        judged = trees.forest_votes(asked, nodes, max_depth, "label")
         pairs = evaluate.pair_counts(judged, "label", "predicted")
         results.append(evaluate.macro_scores(pairs).withColumn("model", F.lit(name)))
     return results[0].unionByName(results[1])
@@ -71,9 +70,9 @@ def baseline(
 
 @query()
 def l1_baseline_run(spark: SparkSession, folder: str) -> DataFrame:
-    """The run on all rated documents, with shallow trees."""
+    """The run on all rated documents, with the settings of the baseline."""
     rated = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     docs = read_table(spark, folder, "documents").select("doc_id", "text").join(rated, "doc_id")
     parts = splits.random_split(docs, "doc_id", 42)
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
-    return baseline(train, test, "label", max_depth=3, n_trees=3)
+    return baseline(train, test, "label")

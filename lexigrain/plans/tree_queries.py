@@ -13,16 +13,18 @@ from lexigrain.plans.sql import round4, uniform
 from lexigrain.session import persisted, shared_path
 from lexigrain.sources import read_table
 
-N_FEATURES = 8
+N_FEATURES = 64
 N_CLASSES = 10
+#: Depth that SQL checks follow, and the depth of whole trees.
+CHECKED_DEPTH, WHOLE_DEPTH = 4, 20
 
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The first eight dimensions as features."""
+    """All dimensions as features."""
     vectors = read_table(spark, folder, "embeddings")
     return vectors.select(
         F.col("vec_id").alias("row_id"),
-        F.slice(F.col("embedding"), 1, N_FEATURES).cast("array<double>").alias("features"),
+        F.col("embedding").cast("array<double>").alias("features"),
         "label",
     )
 
@@ -80,7 +82,7 @@ def tree_sql(depth: int, sample: str) -> str:
     """
     parts = [
         f"r0 AS ({sample})",
-        """n0 AS (SELECT tree_id, CAST(0 AS BIGINT) AS node_id, count(*) // 8 AS n,
+        f"""n0 AS (SELECT tree_id, CAST(0 AS BIGINT) AS node_id, count(*) // {N_FEATURES} AS n,
                          count(DISTINCT label) AS classes FROM r0 GROUP BY ALL)""",
     ]
     for d in range(depth):
@@ -110,7 +112,7 @@ def tree_sql(depth: int, sample: str) -> str:
             zz{d} AS (SELECT DISTINCT * FROM z{d}),
             r{d + 1} AS (SELECT tree_id, CASE WHEN sv < st THEN node_id * 2 + 1 ELSE node_id * 2 + 2 END AS node_id,
                                 row_id, label, f, v FROM x{d} JOIN zz{d} USING (tree_id, node_id, row_id)),
-            n{d + 1} AS (SELECT tree_id, node_id, count(*) // 8 AS n, count(DISTINCT label) AS classes
+            n{d + 1} AS (SELECT tree_id, node_id, count(*) // {N_FEATURES} AS n, count(DISTINCT label) AS classes
                          FROM r{d + 1} GROUP BY ALL)"""
         )
     nodes = " UNION ALL ".join(
@@ -124,7 +126,7 @@ def tree_sql(depth: int, sample: str) -> str:
         for d in range(depth + 1)
     )
     leaves = " UNION ALL ".join(
-        f"SELECT tree_id, node_id, label, count(*) // 8 AS n, {d} AS depth FROM r{d} GROUP BY ALL"
+        f"SELECT tree_id, node_id, label, count(*) // {N_FEATURES} AS n, {d} AS depth FROM r{d} GROUP BY ALL"
         for d in range(depth + 1)
     )
     return ",\n".join(
@@ -133,7 +135,7 @@ def tree_sql(depth: int, sample: str) -> str:
 
 
 _FEATURES_SQL = f"""SELECT vec_id AS row_id, label,
-    unnest(CAST(embedding[1:{N_FEATURES}] AS DOUBLE[])) AS v, unnest(range({N_FEATURES})) AS f FROM embeddings"""
+    unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range({N_FEATURES})) AS f FROM embeddings"""
 _ONE_TREE = f"""SELECT 0 AS tree_id, CAST(0 AS BIGINT) AS node_id, row_id, label, CAST(f AS INTEGER) AS f, v
                 FROM ({_FEATURES_SQL})"""
 
@@ -199,9 +201,16 @@ _NODES_SQL = """SELECT tree_id, node_id, CAST(depth AS INTEGER) AS depth, CAST(n
                        f AS feature_idx, t AS threshold, round(gain, 9) AS gain, is_leaf FROM nodes"""
 
 
-@query(f"WITH {tree_sql(3, _ONE_TREE)} {_NODES_SQL}")
+@query(f"WITH {tree_sql(CHECKED_DEPTH, _ONE_TREE)} {_NODES_SQL}")
 def t08_train_tree(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = trees.grow(_rows(spark, folder), N_FEATURES, N_CLASSES, max_depth=3)
+    nodes = trees.grow(_rows(spark, folder), N_FEATURES, N_CLASSES, max_depth=CHECKED_DEPTH)
+    return nodes.drop("probs").withColumn("gain", F.round("gain", 9))
+
+
+@query()
+def t08_train_whole_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree of the baseline's depth."""
+    nodes = trees.grow(_rows(spark, folder), N_FEATURES, N_CLASSES, max_depth=WHOLE_DEPTH)
     return nodes.drop("probs").withColumn("gain", F.round("gain", 9))
 
 
@@ -216,28 +225,28 @@ def _votes_sql(depth: int) -> str:
 
 
 @query(
-    f"""WITH {tree_sql(3, _ONE_TREE)}, {_votes_sql(3)}
+    f"""WITH {tree_sql(CHECKED_DEPTH, _ONE_TREE)}, {_votes_sql(CHECKED_DEPTH)}
         SELECT row_id, tree_id, node_id, predicted FROM last JOIN leaf USING (tree_id, node_id)"""
 )
 def t09_predict(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rows(spark, folder)
-    nodes = trees.grow(rows, N_FEATURES, N_CLASSES, max_depth=3)
+    nodes = trees.grow(rows, N_FEATURES, N_CLASSES, max_depth=CHECKED_DEPTH)
     return trees.predict(rows, nodes)
 
 
 @query(
-    f"""WITH {tree_sql(3, _ONE_TREE)}, {_votes_sql(3)}
+    f"""WITH {tree_sql(CHECKED_DEPTH, _ONE_TREE)}, {_votes_sql(CHECKED_DEPTH)}
         SELECT row_id, tree_id, node_id, predicted FROM last JOIN leaf USING (tree_id, node_id)"""
 )
 def a04_saved_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions of a tree after its node table was stored and loaded."""
     rows = _rows(spark, folder)
     path = shared_path(spark, "saved-tree")
-    sources.save_node_table(trees.grow(rows, N_FEATURES, N_CLASSES, max_depth=3), path)
+    sources.save_node_table(trees.grow(rows, N_FEATURES, N_CLASSES, max_depth=CHECKED_DEPTH), path)
     return trees.predict(rows, sources.load_node_table(spark, path))
 
 
-FOREST_TREES = 3
+FOREST_TREES = 50
 
 _DRAWN = f"""WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn, count(*) OVER () AS n FROM embeddings),
         d AS (SELECT tree_id, floor({uniform("tree_id || ':' || rn", 42)} * n) + 1 AS rn
@@ -247,13 +256,13 @@ _DRAWN = f"""WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn
 
 
 def _forest(rows: DataFrame, max_depth: int) -> DataFrame:
-    drawn = splits.bootstrap(rows, "row_id", FOREST_TREES, 42)
-    return trees.grow(drawn, N_FEATURES, N_CLASSES, max_depth=max_depth)
+    drawn = persisted(splits.bootstrap(rows.select("row_id"), "row_id", FOREST_TREES, 42), "drawn")
+    return trees.forest(rows, drawn, N_FEATURES, N_CLASSES, max_depth)
 
 
-@query(f"WITH {tree_sql(3, _DRAWN)} {_NODES_SQL}")
+@query(f"WITH {tree_sql(CHECKED_DEPTH, _DRAWN)} {_NODES_SQL}")
 def t10_train_forest(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = _forest(_rows(spark, folder), 3)
+    nodes = _forest(_rows(spark, folder), CHECKED_DEPTH)
     return nodes.drop("probs").withColumn("gain", F.round("gain", 9))
 
 
@@ -281,20 +290,20 @@ def _descend_sql(depth: int) -> str:
     return ", ".join(steps)
 
 
-_FOREST_SQL = f"WITH {tree_sql(3, _DRAWN)}, {_descend_sql(3)}"
+_FOREST_SQL = f"WITH {tree_sql(CHECKED_DEPTH, _DRAWN)}, {_descend_sql(CHECKED_DEPTH)}"
 
 
 @query(f"{_FOREST_SQL} SELECT row_id, predicted, n, round(n / {FOREST_TREES}, 9) AS share FROM counted")
 def t11_vote_shares(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rows(spark, folder)
-    votes = trees.predict(rows, _forest(rows, 3))
+    votes = trees.predict(rows, _forest(rows, CHECKED_DEPTH))
     return trees.vote_shares(votes, FOREST_TREES).withColumn("share", F.round("share", 9))
 
 
 @query(f"{_FOREST_SQL} SELECT row_id, predicted FROM forest")
 def t12_forest_prediction(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rows(spark, folder)
-    return trees.majority(trees.predict(rows, _forest(rows, 3)))
+    return trees.forest_votes(rows, _forest(rows, CHECKED_DEPTH), CHECKED_DEPTH)
 
 
 @query(
@@ -303,6 +312,20 @@ def t12_forest_prediction(spark: SparkSession, folder: str) -> DataFrame:
 )
 def t12_forest_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     rows = _rows(spark, folder)
-    votes = trees.predict(rows, _forest(rows, 3), "label")
+    votes = trees.predict(rows, _forest(rows, CHECKED_DEPTH), "label")
     judged = trees.majority(votes, "label")
     return evaluate.accuracy(evaluate.pair_counts(judged, "label", "predicted"))
+
+
+@query()
+def t10_train_whole_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Fifty trees of the baseline's depth."""
+    nodes = _forest(_rows(spark, folder), WHOLE_DEPTH)
+    return nodes.drop("probs").withColumn("gain", F.round("gain", 9))
+
+
+@query()
+def t12_whole_forest_prediction(spark: SparkSession, folder: str) -> DataFrame:
+    """The vote of fifty trees of the baseline's depth."""
+    rows = _rows(spark, folder)
+    return trees.forest_votes(rows, _forest(rows, WHOLE_DEPTH), WHOLE_DEPTH)
