@@ -16,10 +16,8 @@ from lexigrain.llm.common import bound_batches, query, spread, table
 from lexigrain.llm.url_filter import parts
 from lexigrain.session import persisted
 
-#: A class is valid when so many tokens share its occurrence vector, on so many of a host's pages.
-LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 2, 3, 0.5
-#: Without an article element, the deepest slot with this share of a host's text is the main one.
-MAIN_SHARE = 0.6
+#: A class is valid when so many tokens share its occurrence vector, on pages with so many texts.
+LEAST_TOKENS, LEAST_TEXTS = 2, 3
 
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -197,32 +195,32 @@ def clean(texts: list[str]) -> str:
     return " ".join(html.unescape("".join(texts)).split())
 
 
-TOKENS = (
-    "host string, page long, path long, parent long, label string, depth int, n int, "
-    "outside boolean, article int, chars long, words long"
-)
+TOKENS = "host string, page long, text long, path long, parent long, label string, depth int, n int, own long"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
     """A row per page and distinct token: an element with its path of tags, classes and ids.
 
-    ``n`` is the token's entry in the page's occurrence vector; ``chars`` and ``words`` are the size
-    and a hash of all text below it.
+    ``n`` is the token's entry in the page's occurrence vector, ``own`` a hash of the text in its slot,
+    which is what no deeper token holds (0 if there is none), and ``text`` one of the page's whole text.
     """
 
+    def hashed(words: str, before: int) -> int:
+        return xxhash.xxh64_intdigest(words.encode("utf-8", "replace"), before & (2**64 - 1)) >> 1
+
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for host, page, text in zip(batch["host"], batch["page"], batch["html"]):
                 blocks, nodes = blocks_of(text)
-                chars: dict[int, int] = {}
-                digest: dict[int, int] = {}
+                own: dict[int, int] = {}
+                whole = 0
                 for block in blocks:
                     words = clean(block.texts)
-                    mixed = xxhash.xxh64_intdigest(words.encode("utf-8", "replace"))
-                    for node in {n.path: n for n in block.path}.values():
-                        chars[node.path] = chars.get(node.path, 0) + len(words)
-                        digest[node.path] = (digest.get(node.path, 0) * 31 + mixed) & (2**63 - 1)
+                    if words:
+                        path = block.path[-1].path
+                        own[path] = hashed(words, own.get(path, 0)) or 1
+                        whole = hashed(words, whole)
                 seen: dict[int, list] = {}
                 parents = {0: 0}
                 trail: list[Node] = []
@@ -233,86 +231,62 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     trail.append(node)
                     seen.setdefault(node.path, [node, 0])[1] += 1
                 for path, (node, n) in seen.items():
-                    rows.append(
-                        (host, page, path, parents[path], node.label, node.depth, n, node.outside,
-                         node.article, chars.get(path, 0), digest.get(path, 0))
-                    )
+                    rows.append((host, page, whole, path, parents[path], node.label, node.depth, n, own.get(path, 0)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TOKENS.split(", ")])
 
     return pages.mapInPandas(counted, TOKENS)
 
 
-def deduce(tokens: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Template tokens of each host with the class they belong to and the class around it.
+def deduce(tokens: DataFrame) -> DataFrame:
+    """The template of each host: its tokens with their class, the class around it, and the kind of slot.
 
     Tokens are in one class when their occurrence vectors over all pages of the host are equal: the
-    vectors are compared by number of pages and an exclusive or over hashes of page and entry, so
-    no vector is ever put together and every page counts. A class is valid with enough tokens and
-    pages; valid classes nest by their tokens' parents.
+    vectors are compared by number of pages, an exclusive or and a sum over hashes of page and entry,
+    so no vector is ever put together and every page counts. A layout's tokens are on its pages only, so each
+    layout has classes of its own. A class is valid with enough tokens, on pages of enough different
+    texts. Valid classes nest: ``around`` is the class of the element that holds the class's first
+    token, null at the top and where layouts share no more than that element. A slot is ``fixed`` when its
+    text is the same wherever its token occurs.
     """
+    entry = F.xxhash64("page", "n")
     vectors = tokens.groupBy("host", "path").agg(
         F.min("parent").alias("parent"), F.min("label").alias("label"), F.min("depth").alias("depth"),
-        F.bool_or("outside").alias("outside"), F.max("article").alias("article"),
-        F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"),
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
-        (F.min("words") == F.max("words")).alias("constant"),
+        F.count(F.lit(1)).alias("pages"), F.bit_xor(entry).alias("mixed"),
+        F.sum(F.shiftrightunsigned(entry, 32)).alias("added"),
+        # one bit of 64 for each text: never more than there are different texts
+        F.bit_count(F.expr("bit_or(shiftleft(1L, cast(pmod(text, 64) AS int)))")).alias("texts"),
+        ((F.min("own") == F.max("own")) & (F.min("own") != 0)).alias("fixed"),
     )
-    frequent = vectors.join(hosts, "host").filter(
-        (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE)
-    )
-    classes = frequent.groupBy("host", "pages", "vector").agg(
-        F.count(F.lit(1)).alias("tokens"), F.min(F.struct("depth", "path")).alias("top")
+    vector = ["host", "pages", "mixed", "added"]
+    frequent = vectors.filter(F.col("texts") >= LEAST_TEXTS)
+    classes = frequent.groupBy(*vector).agg(
+        F.count(F.lit(1)).alias("tokens"), F.min(F.struct("depth", "path", "parent")).alias("top")
     )
-    valid = classes.filter(F.col("tokens") >= LEAST_TOKENS).select(
-        "host", "pages", "vector", F.col("top.path").alias("class")
+    named = classes.filter(F.col("tokens") >= LEAST_TOKENS).select(
+        *vector, F.col("top.path").alias("class"), F.col("top.parent").alias("holder")
     )
-    return frequent.join(valid, ["host", "pages", "vector"])
+    template = persisted(frequent.join(named, vector).drop("mixed", "added"), "template-tokens")
+    holders = template.select("host", F.col("path").alias("holder"), F.col("class").alias("around"))
+    return template.join(holders, ["host", "holder"], "left")
 
 
-def main_slots(template: DataFrame) -> DataFrame:
-    """``host, main, fixed``: the slot that holds articles, and tokens with the same text on all pages.
+def fixed_slots(template: DataFrame) -> DataFrame:
+    """``host, fixed``: tokens whose slot holds text of the template."""
+    return template.filter("fixed").groupBy("host").agg(F.collect_set("path").alias("fixed"))
 
-    An article element of the template is taken if there is one, else the deepest slot with most of
-    the host's text. Fixed texts count as template only where the main slot's text varies.
-    """
-    inside = template.filter(~F.col("outside"))
-    whole = inside.groupBy("host").agg(F.max("chars").alias("most"))
-    rank = F.when(F.col("article") > 0, F.col("article") + 1).when(
-        F.col("chars") >= F.col("most") * MAIN_SHARE, 1
-    )
-    # the outermost element of an article kind, the innermost of plain ones
-    deep = F.when(F.col("article") > 0, -F.col("depth")).otherwise(F.col("depth"))
-    chosen = (
-        inside.join(whole, "host")
-        .withColumn("rank", rank)
-        .filter("rank IS NOT NULL AND chars > 0")
-        .groupBy("host")
-        .agg(F.max(F.struct("rank", deep.alias("deep"), "chars", "path", "constant")).alias("main"))
-    )
-    fixed = inside.filter("constant AND chars > 0").groupBy("host").agg(F.collect_list("path").alias("fixed"))
-    return chosen.join(fixed, "host", "left").select(
-        "host",
-        F.col("main.path").alias("main"),
-        F.when(F.col("main.constant"), F.array().cast("array<bigint>"))
-        .otherwise(F.coalesce("fixed", F.array().cast("array<bigint>")))
-        .alias("fixed"),
-    )
 
+def main_text(page: object, fixed: Iterable[int]) -> str:
+    """Text of the slots of a page that hold its article.
 
-def main_text(page: object, main: int, fixed: Iterable[int]) -> str:
-    """Text of the main slot of a page; without one, of its article elements or else all outside."""
-    blocks, nodes = blocks_of(page)
-    inside = [b for b in blocks if not b.path[-1].outside]
+    What lies in menus, forms, adverts, comments and the like is left out. A page that marks its article
+    by an element gives the slots in it, and nothing beside it. Others give all slots. Text of an element outside
+    the template belongs to the slot around it and stays; what stands in a fixed slot is the template's.
+    """
+    inside = [b for b in blocks_of(page)[0] if not b.path[-1].outside]
+    best = max((b.path[-1].article for b in inside), default=0)
     fixed = set(fixed)
-    if any(n.path == main for n in nodes):
-        inside = [
-            b for b in inside
-            if any(n.path == main for n in b.path) and not any(n.path in fixed for n in b.path)
-        ]
-    else:
-        best = max((b.path[-1].article for b in inside), default=0)
-        inside = [b for b in inside if b.path[-1].article == best]
-    texts = [clean(b.texts) for b in inside]
+    kept = [b for b in inside if b.path[-1].article == best and b.path[-1].path not in fixed]
+    texts = [clean(b.texts) for b in kept]
     return "\n".join(t for t in texts if t)
 
 
@@ -321,14 +295,13 @@ def extract(
 ) -> DataFrame:
     """Main text of every page: ``page_id, url, text, n_chars``.
 
-    A template is deduced per host from the occurrence vectors of its pages' elements; it gives the
-    slot that holds the article. A page is cut into blocks, the blocks in that slot are kept but for
-    menus, forms, adverts and comments inside it, character references are decoded, and white space
-    is made one blank. Pages of hosts with too few pages for a template, or without its main slot,
-    give their article elements, else all text outside such parts.
+    A template is deduced per host from the occurrence vectors of its pages' elements, see
+    :func:`deduce`; text that it fixes is taken away, and what the remaining slots hold is the article, see
+    :func:`main_text`. A page is cut into blocks, character references are decoded, and white space
+    is made one blank. Hosts with too few different pages for a template fix nothing.
 
-    Null and empty pages give an empty text. Pages without a host form one group. Repeated rows
-    count as pages and give a row each; a null id stays null. Only three columns are read. Tokens
+    Null and empty pages give an empty text. Pages without a host form one group. Repeated rows and
+    copies of a page count as one text, so what only they share is never taken for a template, and give a row each; a null id stays null. Only three columns are read. Tokens
     combine per host before the shuffle, so a host with a third of all pages is no large group; a
     host's template has a row, which pages meet in a join that can be split.
     """
@@ -340,24 +313,16 @@ def extract(
          host.alias("host"), F.xxhash64(F.col(page_id), F.col(url), F.col(html)).alias("page")],
     )
     tokens = persisted(page_tokens(rows.select("host", "page", "html")), "page-tokens")
-    hosts = tokens.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    template = persisted(deduce(tokens, hosts), "templates")
-    slots = persisted(main_slots(template), "slots")
+    slots = persisted(fixed_slots(deduce(tokens)), "slots")
 
     @F.pandas_udf("string")
-    def text_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, mains, fixed in batches:
-            yield pd.Series(
-                [
-                    main_text(t, int(m), f) for t, m, f in zip(texts, mains, fixed)
-                ]
-            )
-
-    # numbers of 63 bits would lose digits as nullable doubles, so none is sent as -1
+    def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, fixed in batches:
+            yield pd.Series([main_text(t, f) for t, f in zip(texts, fixed)])
+
     found = rows.join(slots, "host", "left").select(
-        "page_id", "url",
-        text_of("html", F.coalesce("main", F.lit(-1)), F.coalesce("fixed", F.array().cast("array<bigint>"))).alias("text"),
-    )
+        "page_id", "url", text_of("html", F.coalesce("fixed", F.array().cast("array<bigint>"))).alias("text")
+    )
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

@@ -121,11 +121,85 @@ def test_template_classes_nest(spark):
         [(f"h", i, f"<body><div class=top><p>a{i}</div>" + "<ul><li>x</ul>" * (i % 3) + "</body>") for i in range(9)],
         "host string, page long, html string",
     )
-    tokens = html_template.page_tokens(pages)
-    hosts = tokens.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    found = html_template.deduce(tokens, hosts).select("label", "class").toPandas()
-    groups = found.groupby("class").label.apply(set).tolist()
-    assert {"body", "div.top", "p"} in groups and {"ul", "li"} in groups
+    found = html_template.deduce(html_template.page_tokens(pages)).collect()
+    groups = {}
+    for row in found:
+        groups.setdefault(row["class"], set()).add(row.label)
+    assert sorted(map(sorted, groups.values())) == [["body", "div.top", "p"], ["li", "ul"]]
+    body = next(row["class"] for row in found if row.label == "body")
+    assert {row.around for row in found if row.label in ("ul", "li")} == {body}
+    assert not any(row.fixed for row in found)  # the list's text is there as often as the list
+
+
+def plain_template(pages):
+    """Classes, the class around each, and fixed slots, from whole occurrence vectors."""
+    vectors, parent, own, label = {}, {}, {}, {}
+    for i, page in enumerate(pages):
+        blocks, nodes = html_template.blocks_of(page)
+        trail, text = [], {}
+        for block in blocks:
+            words = html_template.clean(block.texts)
+            if words:
+                text.setdefault(block.path[-1].path, []).append(words)
+        whole = tuple(map(tuple, text.values()))
+        for node in nodes:
+            while trail and trail[-1].depth >= node.depth:
+                trail.pop()
+            parent[node.path] = trail[-1].path if trail else 0
+            trail.append(node)
+            label[node.path] = (node.depth, node.path)
+            vectors.setdefault(node.path, {}).setdefault(i, [0, whole])[0] += 1
+        for node in nodes:
+            own.setdefault(node.path, {})[i] = tuple(text.get(node.path, ()))
+    groups = {}
+    for path, vector in vectors.items():
+        if len({w for _, w in vector.values()}) >= 3:
+            groups.setdefault(tuple((i, n) for i, (n, _) in vector.items()), []).append(path)
+    classes = {min(g, key=label.get): g for g in groups.values() if len(g) >= 2}
+    of = {p: c for c, g in classes.items() for p in g}
+    out = {}
+    for top, group in classes.items():
+        for path in group:
+            texts = set(own[path].values())
+            out[path] = (top, of.get(parent[top]), len(texts) == 1 and texts != {()})
+    return out
+
+
+LAYOUTS = [
+    "<body><div class=a><h1>T{0}</h1><p>x{0}</p><b>same</b></div><div class=q><p>All rights</p></div></body>",
+    "<body><section><h2>S{0}</h2><div class=w>fixed words</div><ul><li>i{0}<li>j{0}</ul></section></body>",
+    "<table><tr><td>c{0}<td class=k>key</table>tail {0}",
+]
+
+
+def test_template_equals_whole_occurrence_vectors(spark):
+    pages = [LAYOUTS[i % 3].format(i // 2) + "<dl><dt>x<dd>y</dl>" * (i % 2) for i in range(24)]
+    rows = [("h", i, p) for i, p in enumerate(pages)] + [("one", 100, pages[0])]
+    table = spark.createDataFrame(rows, "host string, page long, html string").repartition(3)
+    found = html_template.deduce(html_template.page_tokens(table)).collect()
+    want = plain_template(pages)
+    assert {r.path: (r["class"], r.around, r.fixed) for r in found if r.host == "h"} == want
+    assert sum(f for _, _, f in want.values()) >= 3 and not [r for r in found if r.host == "one"]
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"https://h.example/{i}", p) for i, p in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r.text for r in html_template.extract(table).orderBy("page_id").collect()]
+
+
+def test_copies_of_an_article_keep_their_text(spark):
+    copy = "<body><h2>Head</h2><p>one</p><ul><li>item</ul><blockquote>quoted</blockquote></body>"
+    got = texts_of(spark, [copy] * 5 + ["<body><p>other</p></body>"])
+    assert got == ["Head\none\nitem\nquoted"] * 5 + ["other"]
+
+
+def test_lead_and_story_and_three_layouts_on_one_host(spark):
+    lead = "<body><div class=lead>Lead {0}</div><div class=story><p>Story {0}</p></div><div class=x>Same on all</div></body>"
+    assert texts_of(spark, [lead.format(i) for i in range(6)]) == [f"Lead {i}\nStory {i}" for i in range(6)]
+    got = texts_of(spark, [LAYOUTS[i % 3].format(i) for i in range(18)])
+    want = ["T{0}\nx{0}", "S{0}\ni{0}\nj{0}", "c{0}\ntail {0}"]
+    assert got == [want[i % 3].format(i) for i in range(18)]
 
 
 def test_url_verdicts(spark):
