@@ -18,7 +18,7 @@ from lexigrain.operators import bayes, features, labels, machines, models, scori
 from lexigrain.plans import sql
 from lexigrain.plans.registry import query
 from lexigrain.session import colocate, persisted, shared_path, widen
-from lexigrain.sources import read_table
+from lexigrain.sources import json_ranges, read_table
 
 
 #: Classes of the embeddings.
@@ -479,6 +479,11 @@ def t25_model_comparison(spark: SparkSession, folder: str) -> DataFrame:
 def a01_json_array_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each part file holds one JSON array, so parts are parsed side by side in one flat folder."""
     docs = widen(read_table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return sources.read_json_array(spark, _array_files(spark, docs), docs.schema)
+
+
+def _array_files(spark: SparkSession, docs: DataFrame) -> str:
+    """Documents as files that each hold an array of 1,000."""
     batch = splits.batches(docs.select("doc_id"), "doc_id", 1_000)
     record = F.struct("doc_id", "text", "lang")
     arrays = (
@@ -488,7 +493,14 @@ def a01_json_array_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     path = shared_path(spark, "json_array")
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return sources.read_json_array(spark, path, docs.schema)
+    return path
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def a01_large_json_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """Arrays of 1,000 documents, each read by several tasks from ranges of 256 KB."""
+    docs = widen(read_table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return json_ranges.read_large_json_array(spark, _array_files(spark, docs), docs.schema, 256 << 10)
 
 
 @query("SELECT doc_id, text, lang FROM documents")

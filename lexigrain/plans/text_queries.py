@@ -181,9 +181,10 @@ def c16_topic_names(spark: SparkSession, folder: str) -> DataFrame:
 def c17_word_frequency_maps(spark: SparkSession, folder: str) -> DataFrame:
     """A map per document that has words, counted inside the row."""
     docs = widen(read_table(spark, folder, "documents").select("doc_id", "text"))
-    maps = counted_terms(docs, text.alphabetic_words(F.col("text"))).filter("doc_len > 0").select(
-        "doc_id", F.map_from_entries("runs").alias("m")
-    )
+    counted = counted_terms(docs, text.alphabetic_words(F.col("text")))
+    # a filter on a generated column stays above the tokens, which are then made once
+    runs = counted.select("doc_id", F.explode_outer(F.array("runs")).alias("runs")).filter(F.size("runs") > 0)
+    maps = runs.select("doc_id", F.map_from_entries("runs").alias("m"))
     shown = F.transform(
         F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
     )

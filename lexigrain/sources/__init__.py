@@ -24,8 +24,8 @@ def read_json_array(
 ) -> DataFrame:
     """Files that each hold one JSON array of records.
 
-    Such a file cannot be split, so one task parses one file: keep many files, or convert a large
-    one to Parquet or JSON lines once.
+    Spark does not split such a file, so one task parses one file. That suits many small files; for
+    large ones see ``json_ranges.read_large_json_array``.
     """
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
