@@ -13,6 +13,8 @@ from lexigrain.session import persisted
 
 #: A document whose main language holds less of its letters is rejected.
 LEAST_LANGUAGE_SHARE = 0.5
+#: Ids of rows to go that are sent to every task, 8 bytes each.
+MOST_SENT = 4_000_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -46,18 +48,23 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Groups are those of the SimHash operator: fingerprints over shingles of 3 words link at 3 or
     fewer differing bits. Null texts and texts without words are one group. An id names a document,
     so of rows that repeat an id one stays, whatever their texts; rows without an id are no group's
-    and stay. Rows pass by a semi join with the kept ids; only those that repeat an id are ranked.
+    and stay.
+
+    What goes is far less than what stays, so rows are held against the ids to go. Up to
+    ``MOST_SENT`` of them are sent to the tasks that read the rows, and no text is exchanged; more are
+    joined by a shuffle. Only rows that repeat an id are ranked.
     """
-    groups = simhash.simhash_groups(docs, shingle=3, most=3)
-    kept = persisted(
-        groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept"
-    )
-    single = docs.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    groups = simhash.simhash_groups(docs, shingle=3, most=3).filter("doc_id IS NOT NULL")
+    ids = groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    listed = persisted(ids.filter("first <> doc_id OR n > 1"), "listed")
+    few = listed.count() <= MOST_SENT
+    sent = F.broadcast if few else (lambda table: table)
+    single = docs.join(sent(listed.select("doc_id")), "doc_id", "left_anti")
+    twice = listed.filter("first = doc_id").select("doc_id")
+    repeated = docs.join(sent(twice), "doc_id", "left_semi")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).alias("nth")
     first = repeated.select(F.struct(*docs.columns).alias("doc"), place).filter("nth = 1").select("doc.*")
-    columns = docs.columns
-    return single.select(columns).unionByName(first).unionByName(docs.filter("doc_id IS NULL"))
+    return single.select(docs.columns).unionByName(first)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
