@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions import text
 from lexigrain.functions.fixed_values import BASELINE
-from lexigrain.operators import evaluate, features, labels, models, splits, trees, vocab
+from lexigrain.operators import evaluate, features, labels, models, saved_stages, splits, trees, vocab
 from lexigrain.plans.registry import query
-from lexigrain.session import colocate, persisted
-from lexigrain.sources import read_table
+from lexigrain.session import colocate, persisted, shared_path
+from lexigrain.sources import load_model, read_table, save_model
 
 
 def baseline(
@@ -68,11 +68,30 @@ def baseline(
     return results[0].unionByName(results[1])
 
 
+#: Components of the pipeline that is stored.
+SAVED_COMPONENTS = 50
+
+
+def _rated_texts(spark: SparkSession, folder: str) -> DataFrame:
+    rated = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    docs = read_table(spark, folder, "documents").select("doc_id", "text").join(rated, "doc_id")
+    return splits.random_split(docs, "doc_id", 42)
+
+
+@query()
+def a04_saved_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of unseen documents by the whole pipeline, after it was stored and loaded."""
+    parts = _rated_texts(spark, folder)
+    pipeline = saved_stages.baseline_pipeline("label", components=SAVED_COMPONENTS)
+    fitted = saved_stages.fit_written(pipeline, parts.filter("split = 'train'"), "doc_id", "label")
+    path = shared_path(spark, "pipeline")
+    save_model(fitted, path)
+    return load_model(path).transform(parts.filter("split = 'test'")).select("doc_id", "label", "predicted")
+
+
 @query()
 def l1_baseline_run(spark: SparkSession, folder: str) -> DataFrame:
     """The run on all rated documents, with the settings of the baseline."""
-    rated = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    docs = read_table(spark, folder, "documents").select("doc_id", "text").join(rated, "doc_id")
-    parts = splits.random_split(docs, "doc_id", 42)
+    parts = _rated_texts(spark, folder)
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
     return baseline(train, test, "label")
