@@ -85,12 +85,13 @@ def branches_of(tree: DataFrame) -> DataFrame:
     )
     rare = F.col("n") <= URLS_PER_KIND
     found = persisted(found, "url-branches")
-    wild = (
+    wild = persisted(
         found.filter(rare)
         .groupBy("host", "node")
         .agg(F.count(F.lit(1)).alias("kinds"))
         .filter(F.col("kinds") >= LEAST_KINDS)
-        .select("host", "node", F.lit("*").alias("wild"))
+        .select("host", "node", F.lit("*").alias("wild")),
+        "url-wild",
     )
     named = found.join(wild, ["host", "node"], "left").withColumn(
         "name", F.coalesce(F.when(rare, F.col("wild")), F.col("s"))
@@ -116,12 +117,13 @@ def _past_common(tree: DataFrame) -> DataFrame:
     same = F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b))
     first = F.array_position(same, False).cast("int")
     run = F.when(first == 0, F.size(same)).otherwise(first - 1)
-    spans = (
+    spans = persisted(
         tree.groupBy("host", "node")
         .agg(F.count(F.lit(1)).alias("n"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
         .filter(F.col("n") >= LEAST_KINDS)
         .select("host", "node", run.alias("run"))
-        .filter("run > 0")
+        .filter("run > 0"),
+        "url-spans",
     )
     shared = F.array_join(F.expr("slice(rest, 1, run)"), "/")
     return tree.join(spans, ["host", "node"], "left").select(
