@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrain.functions import sentiment as rules
 from lexigrain.functions import text
+from lexigrain.functions.fixed_values import SPACE, WORD
 from lexigrain.operators import splits
 from lexigrain.operators.features import counted_terms, sentiment_by_lexicon
 from lexigrain.operators.labels import category_codes
+from lexigrain.operators.sentiment import sentiment_by_rules
 from lexigrain.operators.vocab import top_tokens
 from lexigrain.plans import sql
 from lexigrain.plans.registry import query
@@ -218,3 +223,43 @@ def c18_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     docs = colocate(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     lexicon = persisted(rated_words(spark, folder), "lexicon")
     return sentiment_by_lexicon(docs, text.clean_tokens(F.col("text")), lexicon)
+
+
+def _rules_sql() -> str:
+    def listed(words: Sequence[str]) -> str:
+        return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+    boosts = " + ".join(
+        f"CASE WHEN b{i} IN {listed(rules.STRONGER)} THEN sign(valence) * {rules.BOOST * fade}::DOUBLE "
+        f"WHEN b{i} IN {listed(rules.WEAKER)} THEN sign(valence) * {-rules.BOOST * fade}::DOUBLE ELSE 0 END"
+        for i, fade in enumerate(rules.FADING, 1)
+    )
+    turned = " OR ".join(f"coalesce(b{i} IN {listed(rules.NEGATIONS)}, false)" for i in (1, 2, 3))
+    before = ", ".join(f"lag(lw, {i}) OVER (PARTITION BY doc_id ORDER BY i) AS b{i}" for i in (1, 2, 3))
+    return f"""WITH {sql.DOC_TOKENS}, {_VALENCE_SQL},
+     cut AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[{SPACE}]+'),
+               lambda w: regexp_replace(w, '^[^{WORD}]+|[^{WORD}]+$', '', 'g')), lambda w: w <> '') AS ws FROM documents),
+     u AS (SELECT doc_id, w, lower(w) AS lw, i FROM (
+             SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cut)),
+     p AS (SELECT *, {before}, max(CASE WHEN lw = '{rules.CONTRAST}' THEN i END) OVER (PARTITION BY doc_id) AS c,
+                  bool_or(NOT (w = upper(w) AND w <> lw)) OVER (PARTITION BY doc_id) AS mixed FROM u),
+     s AS (SELECT doc_id, i, c, {turned} AS turned,
+                  valence + CASE WHEN mixed AND w = upper(w) AND w <> lw THEN sign(valence) * {rules.CAPITALS}::DOUBLE
+                            ELSE 0 END + {boosts} AS v
+           FROM p JOIN lex ON lw = token),
+     d AS (SELECT doc_id, sum(v * CASE WHEN turned THEN {rules.NEGATION}::DOUBLE ELSE 1 END
+                  * CASE WHEN i < c THEN {rules.BEFORE_CONTRAST}::DOUBLE WHEN i > c THEN {rules.AFTER_CONTRAST}::DOUBLE
+                    ELSE 1 END ORDER BY i) AS v FROM s GROUP BY doc_id),
+     e AS (SELECT doc_id, v + sign(v) * {rules.EXCLAMATION}::DOUBLE
+                  * least(length(text) - length(replace(text, '!', '')), {rules.MOST_EXCLAMATIONS}) AS v
+           FROM (SELECT doc_id, text, coalesce(v, 0)::DOUBLE AS v FROM documents LEFT JOIN d USING (doc_id)))
+    SELECT doc_id, round(coalesce(v / sqrt(v * v + {rules.NORMALISER}), 0), 4) AS compound,
+           CASE WHEN round(coalesce(v / sqrt(v * v + {rules.NORMALISER}), 0), 4) >= 0
+                THEN 'positive' ELSE 'negative' END AS sentiment FROM e"""
+
+
+@query(_rules_sql())
+def c18_sentiment_by_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rated words weighed by capitals, boosters, negations, contrast and exclamation marks."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return sentiment_by_rules(docs, persisted(rated_words(spark, folder), "lexicon"))
