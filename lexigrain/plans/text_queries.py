@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexigrain.functions import sentiment as rules
 from lexigrain.functions import text
 from lexigrain.functions.fixed_values import SPACE, WORD
-from lexigrain.operators import splits
+from lexigrain.operators import sentences, splits
 from lexigrain.operators.features import counted_terms, sentiment_by_lexicon
 from lexigrain.operators.labels import category_codes
 from lexigrain.operators.sentiment import sentiment_by_rules
@@ -115,6 +115,52 @@ def c12_sentence_count_by_locale(spark: SparkSession, folder: str) -> DataFrame:
     return _each(spark, folder, text.locale_sentence_count(F.col("text")), "sentences")
 
 
+_BORDER_SQL = f"""
+ pieces AS (SELECT doc_id, string_split_regex(
+              regexp_replace(text, '[{SPACE}]+([.!?]+)([{SPACE}]|$)', '\\1\\2', 'g'), '[{SPACE}]+') AS ps FROM documents),
+ piece AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM pieces),
+ bare AS (SELECT doc_id, i, regexp_replace(p, '^[^{WORD}]+|[^{WORD}]+$', '', 'g') AS b,
+                 regexp_extract(p, '([.!?]+)[^{WORD}.!?]*$', 1) AS mark FROM piece),
+ w AS (SELECT doc_id, i, regexp_replace(lower(b), '\\p{{Nd}}+', '#', 'g') AS token, mark,
+              regexp_matches(b, '^\\p{{Lu}}') AS upper FROM bare WHERE b <> ''),
+ seen AS (SELECT *, lag(mark) OVER by_place AS before, lead(token) OVER by_place AS next,
+                 lead(upper) OVER by_place AS next_upper FROM w WINDOW by_place AS (PARTITION BY doc_id ORDER BY i)),
+ counted AS (SELECT token, count(*) AS n, count(*) FILTER (mark = '.') AS k, count(*) FILTER (NOT upper) AS n_lower,
+                    count(*) FILTER (upper AND before = '') AS n_inside FROM seen GROUP BY token),
+ shares AS (SELECT *, sum(k) OVER () / sum(n) OVER () AS p, length(token) - length(replace(token, '.', '')) AS dots
+            FROM counted),
+ scored AS (SELECT *, CASE WHEN k > 0 AND regexp_matches(token, '\\p{{L}}|^#$') THEN
+              2 * (k * (ln({sentences.STOPPED_SHARE}::DOUBLE) - ln(p)) + CASE WHEN n > k THEN
+                     (n - k) * (ln({1 - sentences.STOPPED_SHARE}::DOUBLE) - ln(1 - p)) ELSE 0 END)
+              * exp(-(length(token) - dots)) * (dots + 1) * pow((length(token) - dots)::DOUBLE, k - n) END AS s FROM shares),
+ stats AS (SELECT token, n, k AS n_stopped, round(s, 6) AS score,
+                  coalesce(s >= {sentences.LEAST_SCORE}, false) AS abbreviation,
+                  n_lower > 0 AND n_inside = 0 AS opener FROM scored)"""
+
+
+@query(f"WITH {_BORDER_SQL} SELECT * FROM stats")
+def c12_abbreviations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word with the measure by which abbreviations are found in the corpus."""
+    return sentences.border_statistics(_texts(spark, folder))
+
+
+@query(
+    f"""WITH {_BORDER_SQL},
+     ends AS (SELECT doc_id, CASE WHEN regexp_matches(mark, '[!?]') THEN true WHEN length(mark) > 1 THEN next_upper
+                WHEN upper AND regexp_full_match(seen.token, '\\p{{L}}') THEN false
+                WHEN a.abbreviation THEN next_upper AND coalesce(o.opener, false) ELSE true END AS border
+              FROM seen JOIN stats a ON seen.token = a.token LEFT JOIN stats o ON next = o.token
+              WHERE mark <> '' AND next IS NOT NULL),
+     per_doc AS (SELECT doc_id, count(*) FILTER (border) AS n FROM ends GROUP BY doc_id)
+     SELECT d.doc_id, CASE WHEN d.doc_id IN (SELECT doc_id FROM w) THEN coalesce(n, 0) + 1 ELSE 0 END AS sentences
+     FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id"""
+)
+def c12_sentence_count_by_borders(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences whose borders respect abbreviations and initials learned from the documents."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return sentences.sentence_counts(docs, persisted(sentences.border_statistics(widen(docs)), "borders"))
+
+
 @query(f"SELECT doc_id, CAST(len({sql.words('text')}) AS BIGINT) AS words FROM documents")
 def c13_word_count(spark: SparkSession, folder: str) -> DataFrame:
     return _each(spark, folder, text.token_count(text.words(F.col("text"))), "words")
