@@ -14,7 +14,7 @@ from lexigrain import sources
 from lexigrain.functions import text
 from lexigrain.functions.numeric import argmax
 from lexigrain.functions.fixed_values import SEARCH_GRID
-from lexigrain.operators import bayes, features, labels, machines, models, scoring, splits, stats
+from lexigrain.operators import bayes, cooccurrence, features, labels, machines, models, scoring, splits, stats
 from lexigrain.plans import sql
 from lexigrain.plans.registry import query
 from lexigrain.session import colocate, persisted, shared_path, widen
@@ -56,6 +56,41 @@ def e09_word_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return fitted.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
+_PAIRS_SQL = f"""{sql.DOC_TOKENS},
+        p AS (SELECT a.token AS term, b.token AS other FROM tok a JOIN tok b
+                ON a.doc_id = b.doc_id AND b.pos IN (a.pos - 2, a.pos - 1, a.pos + 1, a.pos + 2)),
+        c AS (SELECT term, other, count(*) AS n FROM p GROUP BY term, other)"""
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT * FROM c")
+def e09_pair_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours of every word within two places."""
+    return cooccurrence.pair_counts(_texts(spark, folder), _clean())
+
+
+def _information(spark: SparkSession, folder: str) -> DataFrame:
+    counts = persisted(cooccurrence.pair_counts(_texts(spark, folder), _clean()), "pairs")
+    return cooccurrence.pair_information(counts, shift=2.0)
+
+
+@query(
+    f"""WITH {_PAIRS_SQL},
+        m AS (SELECT term, sum(n)::DOUBLE AS n_term FROM c GROUP BY term),
+        i AS (SELECT c.term, c.other, c.n, ln(c.n::DOUBLE) + ln((SELECT sum(n_term) FROM m)) - ln(a.n_term)
+                     - ln(b.n_term) - ln(2::DOUBLE) AS weight
+              FROM c JOIN m a ON c.term = a.term JOIN m b ON c.other = b.term)
+        SELECT term, other, n, round(weight, 6) AS weight FROM i WHERE round(weight, 9) > 0"""
+)
+def e09_pair_information(spark: SparkSession, folder: str) -> DataFrame:
+    return _information(spark, folder).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def e09_factor_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Word vectors of 100 numbers from the pairs of all texts."""
+    return cooccurrence.factor_vectors(persisted(_information(spark, folder), "information"), 100)
+
+
 @query()
 def e10_mean_word_vectors(spark: SparkSession, folder: str) -> DataFrame:
     docs = _texts(spark, folder)
