@@ -155,6 +155,23 @@ def node_quartiles(assigned: DataFrame) -> DataFrame:
     return neighbours.select(*_FEATURE, F.col("total").alias("n"), *quartiles)
 
 
+def sketched_quartiles(assigned: DataFrame, accuracy: int = 1000) -> DataFrame:
+    """Quartiles t1, t2, t3 of each feature in each node from mergeable sketches.
+
+    Each is a value of the node whose rank is off by at most ``n / accuracy`` of the node's ``n``
+    rows, a row counting ``w`` times. One pass and one exchange of sketches, of about ``accuracy``
+    numbers per task, node and feature, whatever the rows; no value range is sorted.
+    """
+    times = F.explode(F.array_repeat(F.lit(1), F.col("w").cast("int")))
+    rows = assigned.select(*NODE, "features", times.alias("_one"))
+    values = rows.select(*NODE, F.posexplode("features").alias("feature_idx", "value"))
+    sketched = values.groupBy(*_FEATURE).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).alias("t"),
+    )
+    return sketched.select(*_FEATURE, "n", *[F.get("t", F.lit(q - 1)).alias(f"t{q}") for q in (1, 2, 3)])
+
+
 def split_candidates(
     assigned: DataFrame, quartiles: DataFrame, n_classes: int, n_nodes: int
 ) -> DataFrame:
@@ -225,6 +242,7 @@ def grow(
     stop_on_pure: bool = True,
     node_limit: int = NODE_LIMIT,
     local_rows: int | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Node table of one tree, or of all trees when ``rows`` has ``tree_id`` and ``w``.
 
@@ -233,8 +251,10 @@ def grow(
 
     Each level writes its splits and its remaining rows to the shared folder, which cuts the
     lineage. The driver sees the number of nodes still open and the size of the largest. While
-    that is over ``node_limit`` rows, quartiles are found by value range. Leaves hold no split,
-    since it would never be used.
+    that is over ``node_limit`` rows, quartiles are found by value range. With ``accuracy`` the
+    levels that are jobs take them from sketches instead, whose ranks are off by at most
+    1 / ``accuracy``; nodes grown in a task stay exact. Leaves hold no split, since it would never
+    be used.
     """
     if "tree_id" not in rows.columns:
         rows = rows.withColumn("tree_id", F.lit(0)).withColumn("w", F.lit(1).cast("bigint"))
@@ -278,11 +298,15 @@ def grow(
             assigned = persisted(
                 lookup_join(assigned, many, NODE, "n", ["row_id"]).select(*assigned.columns), "assigned"
             )
-        if largest > node_limit and "ranges" not in assigned.columns:
-            assigned = persisted(with_ranges(assigned, n_features), "assigned")
-        elif largest <= node_limit:
-            assigned = assigned.drop("ranges")
-        candidates = split_candidates(assigned, node_quartiles(assigned), n_classes, n_open)
+        if accuracy is not None:
+            quartiles = sketched_quartiles(assigned, accuracy)
+        else:
+            if largest > node_limit and "ranges" not in assigned.columns:
+                assigned = persisted(with_ranges(assigned, n_features), "assigned")
+            elif largest <= node_limit:
+                assigned = assigned.drop("ranges")
+            quartiles = node_quartiles(assigned)
+        candidates = split_candidates(assigned, quartiles, n_classes, n_open)
         decided = persisted(
             decide(open_nodes, best_splits(candidates), min_samples_leaf, min_information_gain),
             "decided",

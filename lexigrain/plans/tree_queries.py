@@ -165,6 +165,14 @@ def t05_candidate_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("feature_idx", F.inline(listed))
 
 
+@query()
+def t05_sketched_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidate thresholds from sketches whose ranks are off by at most a thousandth."""
+    found = trees.sketched_quartiles(_root(spark, folder), 1000)
+    listed = F.array(*[F.struct(F.lit(q).alias("quartile"), F.col(f"t{q}").alias("threshold")) for q in (1, 2, 3)])
+    return found.select("feature_idx", F.inline(listed))
+
+
 @query(
     f"""WITH {tree_sql(1, _ONE_TREE)} SELECT f AS feature_idx, CAST(q AS INTEGER) AS quartile, t AS threshold,
                h AS entropy, CAST(nl AS BIGINT) AS n_left, CAST(nr AS BIGINT) AS n_right FROM b0"""
