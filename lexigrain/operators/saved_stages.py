@@ -280,7 +280,7 @@ class NativeForestModel(TableModel, _ForestParams):
             rows = df.select(F.col(key).alias("row_id"), values.alias("features"))
             voted = trees.forest_votes(rows, nodes, depth)
             return df.join(voted.select(F.col("row_id").alias(key), F.col("predicted").alias("_code")), key)
-        shared = df.sparkSession.sparkContext.broadcast(subtrees.Forest(nodes.toPandas()))
+        shared = df.sparkSession.sparkContext.broadcast(subtrees.Forest.collected(nodes))
 
         @F.pandas_udf("int")
         def voted(batch: pd.Series) -> pd.Series:
