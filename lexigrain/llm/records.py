@@ -17,6 +17,8 @@ from lexigrain.llm.tokens import encoder, tokenizer_path
 from lexigrain.session import persisted, shared_path, shuffle_width
 
 END_ID = 1
+#: Stretches that a worker keeps, as a cache emptied too often has to encode the frequent ones again.
+CACHE_UNITS = 1_000_000
 #: Bytes of a record file before the next one begins.
 FILE_BYTES = 32 << 20
 #: Added to the turned checksum of a frame, so that a checksum of checksums is no fixed point.
@@ -180,7 +182,7 @@ def write_records(
         context = TaskContext.get()
         files, root = _files(folder)
         files.create_dir(root, recursive=True)
-        coder = encoder(path)
+        coder = encoder(path, CACHE_UNITS)
         vocabulary = max(coder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         width = 2 if vocabulary <= 1 << 16 else 4
         part, out, name, offset, before, n_files = context.partitionId(), None, "", 0, 0, 0
