@@ -66,10 +66,9 @@ def word_scores(
     """
     lower, contrast = F.col("lower"), F.col("contrast")
 
-    def score(word: Column, at: Column) -> Column:
-        value = F.element_at("rated", F.get(lower, at))
+    def score(value: Column, at: Column) -> Column:
         sign = F.signum(value)
-        total = value + F.when(F.col("mixed") & in_capitals(word), sign * CAPITALS).otherwise(0.0)
+        total = value + F.when(F.col("mixed") & in_capitals(F.get("words", at)), sign * CAPITALS).otherwise(0.0)
         turned = F.lit(False)
         for distance, weight in enumerate(FADING, 1):
             before = F.get(lower, at - distance)
@@ -78,9 +77,10 @@ def word_scores(
             turned = turned | F.coalesce(before.isin(*negations), F.lit(False))
         total = F.when(turned, total * NEGATION).otherwise(total)
         side = F.when(at < contrast, BEFORE_CONTRAST).when(at > contrast, AFTER_CONTRAST).otherwise(1.0)
-        return F.coalesce(total * side, F.lit(0.0))
+        return F.when(value.isNull(), 0.0).otherwise(F.coalesce(total * side, F.lit(0.0)))
 
-    return F.transform("words", score)
+    # a map is searched from end to end, so once a word and not wherever its value is used
+    return F.transform(F.transform(lower, lambda w: F.element_at("rated", w)), score)
 
 
 def compound(scores: Column, marks: Column) -> Column:

@@ -87,3 +87,9 @@ def test_word_lists_are_parameters(spark, lexicon):
     docs = spark.createDataFrame([(1, "kaum good"), (2, "not good")], "doc_id long, text string")
     rows = sentiment_by_rules(docs, lexicon, negations=("kaum",)).collect()
     assert {r.doc_id: r.sentiment for r in rows} == {1: "negative", 2: "positive"}
+
+
+def test_a_word_is_looked_up_once():
+    from lexigrain.functions import sentiment as rules
+
+    assert str(rules.word_scores()).count("element_at") == 1
