@@ -33,15 +33,21 @@ def marked_words(text: Column) -> Column:
     joined = F.regexp_replace(text, rf"[{SPACE}]+([.!?]+)([{SPACE}]|$)", "$1$2")
     pieces = F.split(joined, f"[{SPACE}]+")
 
-    def cut(piece: Column) -> Column:
+    def bared(piece: Column) -> Column:
         bare = F.regexp_replace(piece, f"^[^{WORD}]+|[^{WORD}]+$", "")
+        return F.struct(piece.alias("piece"), bare.alias("bare"))
+
+    def cut(p: Column) -> Column:
+        # what ends in a word character has no mark behind it
+        mark = F.regexp_extract(p["piece"], rf"([.!?]+)[^{WORD}.!?]*$", 1)
         return F.struct(
-            F.regexp_replace(F.lower(bare), r"\p{Nd}+", "#").alias("core"),
-            F.regexp_extract(piece, rf"([.!?]+)[^{WORD}.!?]*$", 1).alias("mark"),
-            bare.rlike(r"^\p{Lu}").alias("upper"),
+            F.regexp_replace(F.lower(p["bare"]), r"\p{Nd}+", "#").alias("core"),
+            F.when(p["piece"] == p["bare"], "").otherwise(mark).alias("mark"),
+            p["bare"].rlike(r"^\p{Lu}").alias("upper"),
         )
 
-    return F.filter(F.transform(pieces, cut), lambda w: w["core"] != "")
+    # an expression in a lambda is computed wherever it stands, its argument once
+    return F.filter(F.transform(F.transform(pieces, bared), cut), lambda w: w["core"] != "")
 
 
 def border_statistics(df: DataFrame, text: str = "text") -> DataFrame:
