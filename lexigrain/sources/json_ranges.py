@@ -20,12 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANGE_BYTES = 64 << 20
+#: Bytes of small ranges that one task reads, if there are enough for all cores.
+TASK_BYTES = 16 << 20
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
 RANGES = "file string, first long, size long, length long"
 
-_STRING = re.compile(rb'"(?:[^"\\]|\\.)*"', re.S)
-_REST = re.compile(rb'(?:[^"\\]|\\.)*"', re.S)
-_STRUCTURE = re.compile(rb'"(?:[^"\\]|\\.)*"|["{}\[\]]', re.S)
+# whole stretches without a quote or backslash at once, which never have to be given back
+_INNER = rb'[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_STRING = re.compile(rb'"' + _INNER, re.S)
+_REST = re.compile(_INNER, re.S)
+_STRUCTURE = re.compile(rb'"' + _INNER + rb'|["{}\[\]]', re.S)
 
 
 def read_bytes(path: str, first: int, size: int) -> bytes:
@@ -77,6 +81,16 @@ def effect(data: bytes, state: int) -> tuple[int, int]:
     return (ESCAPED if _odd_backslashes(tail) else INSIDE), 0
 
 
+def effects(data: bytes) -> list[tuple[int, int]]:
+    """The effect of bytes for each state that they can start in.
+
+    A backslash before the first byte only matters if that is a quote or a backslash itself.
+    """
+    outside, inside = effect(data, OUTSIDE), effect(data, INSIDE)
+    alike = data[:1] not in (b"", b'"', b"\\")
+    return [outside, inside, inside if alike else effect(data, ESCAPED)]
+
+
 def records_from(data: bytes, state: int, depth: int, whole: int) -> Iterator[bytes | None]:
     """The records of an array that begin in the first ``whole`` bytes, as they stand.
 
@@ -137,16 +151,18 @@ def read_large_json_array(
     A file is cut into ranges of ``range_bytes``, which tasks read side by side: one pass finds out where
     strings and records end, a second one parses. A record belongs to the range that it begins in, however long it is.
     Records are parsed as the JSON source does, missing fields are null. A file that ends inside a record fails
-    the job. Files are read through Arrow's file systems.
+    the job. Files are read through Arrow's file systems. Small ranges share tasks.
     """
     ranges = byte_ranges(spark, path, range_bytes)
-    tasks = max(1, min(ranges.count(), 10_000))
+    n, total = ranges.agg(F.count(F.lit(1)), F.sum("size")).first()
+    # a task's start costs more than a small range
+    tasks = max(1, min(n, 10_000, max(3 * spark.sparkContext.defaultParallelism, -(-(total or 0) // TASK_BYTES))))
 
     def summarised(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 data = read_bytes(row.file, row.first, row.size)
-                found = [effect(data, s) for s in (OUTSIDE, INSIDE, ESCAPED)]
+                found = effects(data)
                 text = json.dumps([[e for e, _ in found], [d for _, d in found]])
                 yield pd.DataFrame([(row.file, row.first, row.size, row.length, text)],
                                    columns=["file", "first", "size", "length", "effects"])

@@ -64,3 +64,19 @@ def test_a_broken_array_fails(spark, tmp_path):
     schema = R.T.StructType([R.T.StructField("id", R.T.LongType())])
     with pytest.raises(ValueError, match="ends inside"):
         R.read_large_json_array(spark, str(tmp_path), schema)
+
+
+def test_effects_of_all_states():
+    rng = random.Random(2)
+    for _ in range(3_000):
+        data = "".join(rng.choice('ab"\\{}[]') for _ in range(rng.randrange(9))).encode()
+        assert R.effects(data) == [R.effect(data, s) for s in (R.OUTSIDE, R.INSIDE, R.ESCAPED)]
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    rows = [{"id": i, "text": "some words " * 20} for i in range(200)]
+    (tmp_path / "one.json").write_text(json.dumps(rows))
+    schema = R.T.StructType([R.T.StructField("id", R.T.LongType())])
+    got = R.read_large_json_array(spark, str(tmp_path), schema, 100)
+    assert 5 < got.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in got.collect()) == list(range(200))
