@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexigrain.operators import word_blocks
 from lexigrain.operators.features import doc_terms
 from lexigrain.operators.joins import lookup_join
 from lexigrain.operators.ranking import top_per_group
+from lexigrain.operators.word_blocks import WordBlocks
 from lexigrain.session import persisted
 
 
@@ -31,21 +36,27 @@ class NaiveBayes:
         A label that never had a term adds ln(1) = 0, so only counted pairs are stored. Labels are
         compared on scores of six digits, equal ones go to the first in order.
         """
-        counted = doc_terms(df, token_array, doc_id)
-        known = lookup_join(counted, self.terms, ["term"], "total", [doc_id])
-        # the entry without a label counts the known tokens, so one pass gives sums and length
-        length = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(1.0).alias("value")))
-        entries = known.select(
-            doc_id, "n", F.inline(F.concat(F.map_entries("logs"), length)).alias("_label", "_log")
-        )
-        per_label = entries.groupBy(doc_id, "_label").agg(
-            F.sum(F.col("n") * F.col("_log")).alias("_sum")
-        )
-        labelled = F.when(F.col("_label").isNotNull(), F.struct("_label", "_sum"))
-        sums = per_label.groupBy(doc_id).agg(
-            F.map_from_entries(F.collect_list(labelled)).alias("_sums"),
-            F.max(F.when(F.col("_label").isNull(), F.col("_sum"))).alias("_len"),
-        )
+        docs = df.filter(F.col(doc_id).isNotNull())
+        blocks = WordBlocks.deal(docs, token_array, F.xxhash64(doc_id), [doc_id])
+        used = blocks.words().drop("rows").join(self.terms.withColumnRenamed("term", "word"), "word")
+        used = used.select("_block", "word", F.map_entries("logs").alias("logs"))
+        fields = [df.schema[doc_id], T.StructField("_sums", T.MapType(T.StringType(), T.DoubleType())),
+                  T.StructField("_len", T.DoubleType())]
+
+        def summed(rows: pa.Table, known: pa.Table) -> pa.Table:
+            ids, owner, at, n = word_blocks.entries(rows, doc_id, known["word"])
+            logs, starts = word_blocks.flat(known["logs"])
+            labels = logs.field("key").dictionary_encode()
+            sums = word_blocks.by_label(
+                owner, at, n, starts, labels.indices.to_numpy(), logs.field("value").to_numpy(), len(labels.dictionary), len(ids)
+            )
+            ends = np.arange(0, sums.size + 1, max(sums.shape[1], 1), dtype=np.int32)[: len(ids) + 1]
+            ends = ends if sums.size else np.zeros(len(ids) + 1, dtype=np.int32)
+            keys = pa.array(labels.dictionary.to_pylist() * len(ids), pa.string())
+            maps = pa.MapArray.from_arrays(pa.array(ends), keys, pa.array(sums.ravel()))
+            return pa.table({doc_id: ids, "_sums": maps, "_len": np.bincount(owner, n, len(ids)).astype(float)})
+
+        sums = blocks.meet(used, summed, T.StructType(fields))
         # one entry per class
         classes = self.classes.agg(
             F.sort_array(F.collect_list(F.struct("label", "log_prior", "log_total")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from lexigrain.operators import models, word_blocks
+from lexigrain.operators import bayes, features, models, word_blocks
 from lexigrain.operators.skip_grams import CodeTree
 
 TOPICS = [[f"{t}{i}" for i in range(6)] for t in "abc"]
@@ -82,3 +82,44 @@ def test_mean_vectors_in_blocks(spark, monkeypatch):
     assert got == Counter(doc_id for doc_id, _ in rows)
     plan = means._jdf.queryExecution().executedPlan().toString()
     assert "summarizer" not in plan.lower() and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_scaled_terms_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(word_blocks, "BLOCK_WORDS", 300)
+    rows = [*corpus(40), (7, ["a0", "a0", "zz"]), (None, ["a0"]), (None, ["b1", "zz"]), (500, []), (501, None)]
+    df = spark.createDataFrame(rows, "doc_id long, toks array<string>").repartition(3)
+    found = features.normalised_tfidf(df, F.col("toks"))
+    frequency = Counter(w for _, words in rows for w in set(words or []))
+    raw = [(d, w, n * (np.log((1 + len(rows)) / (1 + frequency[w])) + 1)) for d, words in rows for w, n in Counter(words or []).items()]
+    norm = Counter()
+    for d, _, x in raw:
+        norm[d] += x * x
+    want = sorted((str(d), w, round(x / norm[d] ** 0.5, 9)) for d, w, x in raw)
+    assert sorted((str(r.doc_id), r.term, round(r.weight, 9)) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_bayes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(word_blocks, "BLOCK_WORDS", 300)
+    rows = [(i, words, "xyz"[i % 3]) for i, words in corpus(40)]
+    rows += [(500, ["a0", "a0", "zz"], "x"), (None, ["a0"], "y"), (501, [], "z"), (502, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, toks array<string>, lang string").repartition(3)
+    counts = {k: Counter(w for _, words, lang in rows if lang == k for w in words or []) for k in "xyz"}
+    size = len(set().union(*counts.values()))
+    fitted = bayes.fit_naive_bayes(df, "lang", F.col("toks"))
+    asked = spark.createDataFrame([*rows, (600, ["never", "b3"], "x")], df.schema)
+    judged = fitted.predict(asked, F.col("toks"))
+    got = {r.doc_id: r for r in judged.collect()}
+    for doc_id, words, _ in [*rows, (600, ["b3"], "x")]:
+        # a row without an id has no terms
+        used = (words or []) if doc_id is not None else []
+        scores = {}
+        for k, c in counts.items():
+            prior = np.log(sum(r[2] == k for r in rows) / len(rows))
+            scores[k] = round(prior + sum(np.log(c[w] + 1) - np.log(sum(c.values()) + size) for w in used), 6)
+        best = max(scores.values())
+        assert got[doc_id].score == pytest.approx(best, abs=2e-6)
+        assert got[doc_id].predicted in {k for k, s in scores.items() if s > best - 2e-6}
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
