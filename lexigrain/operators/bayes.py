@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrain.operators import word_blocks
-from lexigrain.operators.features import doc_terms
 from lexigrain.operators.joins import lookup_join
 from lexigrain.operators.ranking import top_per_group
 from lexigrain.operators.word_blocks import WordBlocks
@@ -50,10 +49,7 @@ class NaiveBayes:
             sums = word_blocks.by_label(
                 owner, at, n, starts, labels.indices.to_numpy(), logs.field("value").to_numpy(), len(labels.dictionary), len(ids)
             )
-            ends = np.arange(0, sums.size + 1, max(sums.shape[1], 1), dtype=np.int32)[: len(ids) + 1]
-            ends = ends if sums.size else np.zeros(len(ids) + 1, dtype=np.int32)
-            keys = pa.array(labels.dictionary.to_pylist() * len(ids), pa.string())
-            maps = pa.MapArray.from_arrays(pa.array(ends), keys, pa.array(sums.ravel()))
+            maps = word_blocks.maps(labels.dictionary.to_pylist(), sums)
             return pa.table({doc_id: ids, "_sums": maps, "_len": np.bincount(owner, n, len(ids)).astype(float)})
 
         sums = blocks.meet(used, summed, T.StructType(fields))
@@ -137,26 +133,19 @@ def predict_held_out(
     docs = persisted(df.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n_docs")), "fold_docs")
     folds = docs.select(F.col(fold).alias("held")).distinct()
     # a term has at most one entry per class and fold
-    entries = F.collect_list(F.struct(F.col(label).cast("string").alias("label"), F.col(fold).alias("fold"), "c"))
-    terms = counts.groupBy("term").agg(entries.alias("entries"), F.sum("c").alias("total"))
-    # one row per fold
-    held = terms.crossJoin(F.broadcast(folds))
-    others = F.filter("entries", lambda e: e["fold"] != F.col("held"))
-    named = F.array_distinct(F.transform("others", lambda e: e["label"]))
-    logs = F.transform(
-        named,
-        lambda k: F.struct(
-            k.alias("key"),
-            F.aggregate(
-                F.filter("others", lambda e: e["label"] == k), F.lit(0).cast("bigint"), lambda a, e: a + e["c"]
-            ).alias("value"),
+    entry = F.struct(F.col(label).cast("string").alias("label"), F.col(fold).alias("fold"), "c")
+    terms = persisted(
+        counts.filter(F.col(fold).isNotNull()).groupBy("term").agg(
+            F.collect_list(entry).alias("entries"), F.min(fold).alias("first"), F.max(fold).alias("last")
         ),
+        "entries",
     )
-    known = persisted(
-        held.withColumn("others", others).filter(F.size("others") > 0).select("term", "held", "total", logs.alias("counts")),
-        "held_terms",
+    # a model does not know the terms that only its held-out fold has
+    own = terms.filter("first = last").groupBy(F.col("first").alias("held")).agg(F.count(F.lit(1)).alias("own"))
+    everything = terms.agg(F.count(F.lit(1)).alias("v"))
+    vocabulary = folds.crossJoin(F.broadcast(everything)).join(own, "held", "left").select(
+        "held", (F.col("v") - F.coalesce("own", F.lit(0))).alias("v")
     )
-    vocabulary = known.groupBy("held").agg(F.count(F.lit(1)).alias("v"))
     # one row per class and fold from here on
     grid = docs.select(label).distinct().crossJoin(F.broadcast(folds))
     train = (F.col(fold) != F.col("held"))
@@ -173,18 +162,40 @@ def predict_held_out(
             F.log(F.coalesce("n_tokens", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("log_total"),
         )
     )
-    at = df.select(doc_id, F.col(fold).alias("held"))
-    counted = doc_terms(df, token_array, doc_id).join(at, doc_id)
-    met = lookup_join(counted, known, ["term", "held"], "total", [doc_id])
-    lengths = met.groupBy(doc_id).agg(F.sum("n").alias("_len"))
-    sums = met.select(doc_id, "n", F.inline("counts").alias("_label", "_c")).groupBy(doc_id, "_label").agg(
-        F.sum(F.col("n") * F.log(F.col("_c") + 1.0)).alias("_sum")
-    )
+    blocks = WordBlocks.deal(df.filter(F.col(doc_id).isNotNull()), token_array, F.xxhash64(doc_id), [doc_id, fold])
+    used = blocks.words().drop("rows").join(terms.select(F.col("term").alias("word"), "entries"), "word")
+
+    def summed(rows: pa.Table, known: pa.Table) -> pa.Table:
+        ids, owner, at, n = word_blocks.entries(rows, doc_id, known["word"])
+        found, starts = word_blocks.flat(known["entries"])
+        names = found.field("label").dictionary_encode(null_encoding="encode")
+        n_labels, word = len(names.dictionary), np.repeat(np.arange(len(known), dtype=np.int64), np.diff(starts))
+        pairs, pair = np.unique(word * max(n_labels, 1) + names.indices.to_numpy(), return_inverse=True)
+        pair_starts = np.searchsorted(pairs, np.arange(len(known) + 1) * max(n_labels, 1))
+        of_fold, c = found.field("fold").to_numpy(), found.field("c").to_numpy()
+        # rows that repeat an id are asked for once each
+        row_owner, row_held = word_blocks.places(rows[doc_id], pa.chunked_array([ids])), rows[fold].to_numpy()
+        sums, lengths = np.zeros((len(ids), n_labels)), np.zeros(len(ids))
+        for held in np.unique(row_held[~np.isnan(row_held.astype(float))]):
+            times = np.bincount(row_owner[row_held == held], minlength=len(ids))
+            others = np.where(of_fold == held, 0, c)
+            asked = times[owner] > 0
+            who, what, weight = owner[asked], at[asked], (n * times[owner])[asked]
+            logs = np.log(np.bincount(pair, others, len(pairs)) + 1)
+            sums += word_blocks.by_label(who, what, weight, pair_starts, pairs % max(n_labels, 1), logs, n_labels, len(ids))
+            met = np.bincount(word, others, len(known))[what] > 0
+            lengths += np.bincount(who[met], weight[met], len(ids))
+        labelled = [i for i, name in enumerate(names.dictionary.to_pylist()) if name is not None]
+        keys = [names.dictionary[i].as_py() for i in labelled]
+        return pa.table({doc_id: ids, "_sums": word_blocks.maps(keys, sums[:, labelled]), "_len": lengths})
+
+    fields = [df.schema[doc_id], T.StructField("_sums", T.MapType(T.StringType(), T.DoubleType())),
+              T.StructField("_len", T.DoubleType())]
     scored = (
         df.select(doc_id, label, F.col(fold).alias("held"))
         .join(F.broadcast(classes), "held")
-        .join(sums, [doc_id, "_label"], "left")
-        .join(lengths, doc_id, "left")
+        .join(blocks.meet(used, summed, T.StructType(fields)), doc_id, "left")
+        .withColumn("_sum", F.element_at("_sums", F.col("_label")))
     )
     score = F.round(
         F.col("log_prior") + F.coalesce("_sum", F.lit(0.0)) - F.coalesce("_len", F.lit(0)) * F.col("log_total"), 6
