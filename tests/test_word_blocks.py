@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.operators import bayes, features, models, word_blocks
 from lexigrain.operators.skip_grams import CodeTree
+from lexigrain.session import persisted
 
 TOPICS = [[f"{t}{i}" for i in range(6)] for t in "abc"]
 
@@ -123,3 +124,18 @@ def test_bayes_in_blocks(spark, monkeypatch):
         assert got[doc_id].predicted in {k for k, s in scores.items() if s > best - 2e-6}
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_held_out_bayes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(word_blocks, "BLOCK_WORDS", 300)
+    rows = [(i, words, "xyz"[i % 3], i % 2) for i, words in corpus(40)] + [(500, ["only", "a0"], "x", 1), (501, None, "y", 0)]
+    df = persisted(spark.createDataFrame(rows, "doc_id long, toks array<string>, lang string, fold int"), "folds")
+    judged = bayes.predict_held_out(df, "lang", F.col("toks"))
+    got = {r.doc_id: r for r in judged.collect()}
+    for fold in (0, 1):
+        fitted = bayes.fit_naive_bayes(df.filter(F.col("fold") != fold), "lang", F.col("toks"))
+        for r in fitted.predict(df.filter(F.col("fold") == fold), F.col("toks")).collect():
+            assert (got[r.doc_id].fold, got[r.doc_id].predicted) == (fold, r.predicted)
+            assert got[r.doc_id].score == pytest.approx(r.score, abs=2e-6)
+    assert len(got) == len(rows)
+    assert "FlatMapCoGroupsInArrow" in judged._jdf.queryExecution().executedPlan().toString()
