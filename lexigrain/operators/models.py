@@ -17,7 +17,6 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.classification import NaiveBayes as MLNaiveBayes
-from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IDF,
@@ -36,6 +35,7 @@ from lexigrain.operators import machines, subtrees, trees, word_blocks
 from lexigrain.operators.features import filter_tokens, fit_features
 from lexigrain.operators.skip_grams import SkipGrams
 from lexigrain.operators.splits import bootstrap
+from lexigrain.operators.topics import TopicModel, Topics
 from lexigrain.operators.vocab import top_tokens
 from lexigrain.operators.word_blocks import WordBlocks
 from lexigrain.session import persisted
@@ -74,30 +74,20 @@ def term_pipeline(df: DataFrame, tokens: str = "tokens") -> Pipeline:
     return Pipeline(stages=[counts, idf, Normalizer(inputCol="weighted", outputCol="features")])
 
 
-def topic_model(topics: int = 5, seed: int = 0, iterations: int = 20) -> LDA:
-    """Every iteration reads all documents."""
-    return LDA(
-        k=topics, seed=seed, maxIter=iterations, subsamplingRate=1.0, featuresCol="features"
-    )
+def topic_model(topics: int = 5, seed: int = 0, iterations: int = 20) -> TopicModel:
+    """Every iteration reads all documents; topics x words are a table, never on the driver or in one task."""
+    return TopicModel(topics, seed, iterations)
 
 
-def assign_topics(model: Model, df: DataFrame, name: str = "topic") -> DataFrame:
-    """Most probable topic per row."""
-    found = model.transform(df)
-    return found.withColumn(name, argmax(vector_to_array("topicDistribution")))
+def assign_topics(model: Topics, name: str = "topic") -> DataFrame:
+    """Shares of the topics and the most probable one per row; ``model.on`` takes rows that it was not fitted on."""
+    found = persisted(model.distributions(), "shares")
+    return found.withColumn(name, argmax(F.col("topicDistribution")))
 
 
-def topic_words(model: Model, vocabulary: Sequence[str], n: int = 10) -> DataFrame:
+def topic_words(model: Topics, n: int = 10) -> DataFrame:
     """The strongest words of each topic: topics x n rows."""
-    described = model.describeTopics(n)
-    terms = described.select("topic", F.posexplode("termIndices").alias("pos", "term_idx"))
-    names = described.sparkSession.createDataFrame(
-        [(i, vocabulary[i]) for i in sorted({r.term_idx for r in terms.collect()})],
-        "term_idx int, term string",
-    )
-    return terms.join(F.broadcast(names), "term_idx").select(
-        "topic", (F.col("pos") + 1).alias("rk"), "term"
-    )
+    return persisted(model.words(n), "topic_words")
 
 
 def word_vectors(

@@ -15,6 +15,7 @@ from lexigrain.functions import text
 from lexigrain.functions.numeric import argmax
 from lexigrain.functions.fixed_values import SEARCH_GRID
 from lexigrain.operators import bayes, cooccurrence, features, labels, machines, models, scoring, splits, stats
+from lexigrain.operators.topics import Topics
 from lexigrain.plans import sql
 from lexigrain.plans.registry import query
 from lexigrain.session import colocate, persisted, shared_path, widen
@@ -154,39 +155,34 @@ def e11_component_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return reduced.select("vec_id", F.round(F.sqrt(square), 6).alias("length"))
 
 
-def _topics(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _topics(spark: SparkSession, folder: str) -> Topics:
     docs = _texts(spark, folder, "lang").select(
         "doc_id", "lang", text.long_words(F.col("text"), text.ENGLISH_STOP_WORDS).alias("tokens")
     )
-    stored = persisted(docs, "tokens")
-    vectoriser = models.term_pipeline(stored).fit(stored)
-    weighted = persisted(vectoriser.transform(stored).select("doc_id", "lang", "features"), "tfidf")
-    fitted = models.topic_model().fit(weighted)
-    words = models.topic_words(fitted, vectoriser.stages[0].vocabulary)
-    return models.assign_topics(fitted, weighted), words
+    return models.topic_model().fit(docs, "tokens", ["doc_id", "lang"])
 
 
 @query()
 def e12_topic_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    found, _ = _topics(spark, folder)
-    return found.select("doc_id", vector_to_array("topicDistribution").alias("shares"))
+    found = _topics(spark, folder).distributions()
+    return found.select("doc_id", F.col("topicDistribution").alias("shares"))
 
 
 @query()
 def e13_topic_of_document(spark: SparkSession, folder: str) -> DataFrame:
-    found, _ = _topics(spark, folder)
-    return found.select("doc_id", "topic")
+    return models.assign_topics(_topics(spark, folder)).select("doc_id", "topic")
 
 
 @query()
 def d16_topic_words(spark: SparkSession, folder: str) -> DataFrame:
-    return _topics(spark, folder)[1]
+    return models.topic_words(_topics(spark, folder))
 
 
 @query()
 def d10_topics_by_label(spark: SparkSession, folder: str) -> DataFrame:
     """Named topics against languages, zeros filled in."""
-    found, words = _topics(spark, folder)
+    fitted = _topics(spark, folder)
+    found, words = models.assign_topics(fitted), models.topic_words(fitted)
     pairs = F.array_sort(F.collect_list(F.struct("rk", "term")))
     lists = words.groupBy("topic").agg(F.transform(pairs, lambda p: p["term"]).alias("w"))
     named = persisted(
