@@ -7,10 +7,12 @@ local.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,9 +162,32 @@ class TermFeatures:
     def vectors(
         self, df: DataFrame, token_array: Column, width: int, doc_id: str = "doc_id"
     ) -> DataFrame:
-        """One dense array of ``width`` weights per document, zeros where it has none of the terms."""
-        rows = self.weights(df, token_array, doc_id)
-        return assemble(df.select(doc_id), rows, width, doc_id)
+        """One dense array of ``width`` weights per document, zeros where it has none of the terms.
+
+        Terms are counted inside the row, against the chosen ones only, so nothing is exchanged. A row
+        without an id has no terms.
+        """
+        width = max(width, 1)
+        factor = F.col("idf") if self.weighting == "tfidf" else F.lit(1.0)
+        # N rows by construction
+        chosen = self.table.select("term", "feature_pos", factor.alias("factor")).collect()
+        known = pa.array([r.term for r in chosen], pa.string())
+        place = np.array([r.feature_pos for r in chosen], dtype=np.int64)
+        times = np.zeros(width)
+        times[place] = [r.factor for r in chosen]
+
+        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size, tokens = batch.column("_size").to_numpy(), batch.column("_tokens")
+                at = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(batch), dtype=np.int64), size)[at >= 0]
+                n = np.bincount(row * width + place[at[at >= 0]], minlength=len(batch) * width).reshape(-1, width)
+                dense = n / np.maximum(size, 1)[:, None] * times
+                yield pa.RecordBatch.from_arrays([batch.column(doc_id), word_blocks.ragged(dense)], names=[doc_id, "features"])
+
+        rows = df.select(doc_id, F.coalesce(F.when(F.col(doc_id).isNotNull(), token_array), F.array()).alias("_tokens"))
+        schema = T.StructType([df.schema[doc_id], T.StructField("features", T.ArrayType(T.DoubleType()))])
+        return rows.withColumn("_size", F.size("_tokens")).mapInArrow(count, schema)
 
 
 def fit_features(
@@ -194,18 +219,6 @@ def fit_features(
     return TermFeatures(persisted(numbered.select("term", "feature_pos", "idf", "total"), "features"), weighting)
 
 
-def assemble(ids: DataFrame, rows: DataFrame, width: int, doc_id: str = "doc_id") -> DataFrame:
-    """Dense arrays from long feature rows; every id gets one."""
-    pairs = rows.groupBy(doc_id).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature_pos", "weight"))).alias("_m")
-    )
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)),
-    )
-    return ids.join(pairs, doc_id, "left").select(doc_id, filled.alias("features"))
-
-
 def as_vectors(df: DataFrame, array: str = "features", name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(array)))
 

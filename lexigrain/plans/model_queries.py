@@ -132,9 +132,10 @@ def e10_mean_vectors_by_label(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def e11_principal_components(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _texts(spark, folder)
-    fitted = features.fit_features(docs, _clean(), 150)
-    dense = persisted(fitted.vectors(docs, _clean(), fitted.table.count()), "dense")
+    docs = widen(read_table(spark, folder, "documents").select("doc_id", "text"))
+    cleaned = persisted(docs.select("doc_id", _clean().alias("tokens")), "tokens")
+    fitted = features.fit_features(cleaned, F.col("tokens"), 150)
+    dense = persisted(fitted.vectors(cleaned, F.col("tokens"), fitted.table.count()), "dense")
     width = fitted.table.count()
     rows = features.as_vectors(dense)
     reduced = models.reduction(20, dense.count(), width).fit(rows).transform(rows)

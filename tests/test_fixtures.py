@@ -9,6 +9,7 @@ from lexigrain.functions import text
 from lexigrain.functions.fixed_values import AGE_LABELS, MERGED_AGE_LABEL, RARE_AGE_LABELS
 from lexigrain.functions.numeric import argmax, entropy, round4
 from lexigrain.operators import evaluate, features, labels, splits, trees, vocab
+from lexigrain.session import persisted
 
 
 def docs(spark, rows, schema="doc_id long, text string"):
@@ -110,6 +111,22 @@ def test_feature_vectors_cover_empty_documents(spark):
     assert rows[1] == pytest.approx([1 / 3, 2 / 3])
 
 
+@pytest.mark.parametrize("weighting", ["tf", "tfidf"])
+def test_feature_vectors_are_counted_inside_the_row(spark, weighting):
+    rows = [(1, ["a", "b", "b", "z"]), (2, None), (3, ["b", None]), (4, []), (None, ["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, toks array<string>").repartition(2)
+    fitted = features.fit_features(df, F.col("toks"), 2, weighting)
+    dense = fitted.vectors(df, F.col("toks"), 2)
+    chosen = {r.feature_pos: (r.term, r.idf if weighting == "tfidf" else 1.0) for r in fitted.table.collect()}
+    for r in dense.collect():
+        toks = dict(rows)[r.doc_id] if r.doc_id is not None else None
+        want = [chosen[i][1] * (toks or []).count(chosen[i][0]) / max(len(toks or []), 1) for i in range(2)]
+        assert r.features == pytest.approx(want)
+    assert dense.count() == len(rows)
+    plan = fitted.vectors(persisted(df), F.col("toks"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_filter_tokens_keeps_order_and_documents(spark):
     df = weights(spark)
     kept = spark.createDataFrame([("a", 2)], "token string, n long")
