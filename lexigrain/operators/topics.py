@@ -359,7 +359,8 @@ class TopicModel:
         topics, seed = self.topics, self.seed
         blocks = WordBlocks.deal(df, F.col(tokens), F.xxhash64(*keep, tokens), keep)
         used, docs = persisted(blocks.words(), "used"), blocks.rows.count()
-        ranges = word_blocks.buckets(df, used.count(), topics)
+        # a range holds texts, places and weights of its words
+        ranges = word_blocks.buckets(df, used.count(), 8 * topics)
         dealt = used.select(_range("word", ranges), "_block", "word", "rows")
 
         def link(rows: pa.Table) -> pa.Table:
