@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from lexigrain.operators import bayes, features, models, word_blocks
+from lexigrain.operators import bayes, features, models, skip_grams, word_blocks
 from lexigrain.operators.skip_grams import CodeTree
 from lexigrain.session import persisted
 
@@ -139,3 +139,50 @@ def test_held_out_bayes_in_blocks(spark, monkeypatch):
             assert got[r.doc_id].score == pytest.approx(r.score, abs=2e-6)
     assert len(got) == len(rows)
     assert "FlatMapCoGroupsInArrow" in judged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_training_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(4)
+    sentences = [rng.integers(0, 9, n) for n in (1, 2, 7, 30)] + [np.array([3, 3, 3]), np.zeros(0, dtype=np.int64)]
+    tree = CodeTree.grow(sorted(Counter(np.bincount(np.concatenate(sentences), minlength=9).tolist()).items()))
+    words, window, rate = np.arange(9), 2, 0.5
+    got = skip_grams.start_vectors(words, 5, 1)
+    want = got.astype(float)
+    skip_grams.trained(sentences, got, tree, words, window, rate, 6)
+
+    nodes, branches, starts = tree.paths(words)
+    inner, draw, done, total = np.zeros((nodes.max() + 1, 5)), np.random.default_rng(6), 0, sum(map(len, sentences))
+    for sentence in sentences:
+        if not len(sentence):
+            continue
+        step = rate * max(1 - done / total, 1e-4)
+        spans = window - draw.integers(0, window, len(sentence))
+        for i, word in enumerate(sentence):
+            around = [sentence[j] for j in range(len(sentence)) if j != i and abs(i - j) <= spans[i]]
+            path, taken = (x[starts[word] : starts[word + 1]] for x in (nodes, branches))
+            a, b = want[around], inner[path].copy()
+            error = (1 - taken - 1 / (1 + np.exp(-a @ b.T))) * step
+            inner[path] += error.T @ a
+            for j, change in zip(around, error @ b):
+                want[j] += change
+        done += len(sentence)
+    assert np.abs(got - skip_grams.start_vectors(words, 5, 1)).max() > 0.02 and np.allclose(got, want, atol=1e-4)
+    near, ends, single = skip_grams._windows(np.array([4, 5, 4, 6]), np.array([2, 1, 2, 1]), 2)
+    assert [x.tolist() for x in np.split(near, ends[:-1])] == [[5, 4], [4, 4], [4, 5, 6], [4]]
+    assert single == [True, False, True, True]
+
+
+def test_blocks_fill_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(word_blocks, "BLOCK_WORDS", 1_000)
+    rows = spark.createDataFrame(corpus(), "doc_id long, tokens array<string>")
+    cores = spark.sparkContext.defaultParallelism
+    for least in (None, 3):
+        blocks = word_blocks.WordBlocks.deal(rows, F.col("tokens"), F.xxhash64("doc_id"), ["doc_id"], least)
+        assert blocks.n >= 9_600 / 1_000 and blocks.n % cores == 0
+
+
+def test_trained_vectors_travel_in_single_precision(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, [])], "doc_id long, tokens array<string>")
+    table = spark.createDataFrame([("a", Vectors.dense([0.5, 0.1])), ("b", Vectors.dense([0.25, 2.0]))], ["word", "vector"])
+    found, one = models.mean_vectors(rows, F.col("tokens"), table, 2, kind="float32"), float(np.float32(0.1))
+    assert {r.doc_id: r.mean for r in found.collect()} == {1: [0.375, (one + 2.0) / 2], 2: [0.5, one], 3: [0.0, 0.0]}
