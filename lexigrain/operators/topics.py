@@ -34,13 +34,12 @@ TOLERANCE = 1e-3
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    x, out = np.array(x, dtype=float), np.zeros(np.shape(x))
-    for _ in range(6):
-        low = x < 6
-        out -= np.where(low, 1 / x, 0.0)
-        x += low
-    r = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    """The series at x + 6, less the six reciprocals from x on, of which two share a denominator each."""
+    x = np.asarray(x, dtype=float)
+    y, t = x + 6, x * (x + 5)
+    r = 1 / (y * y)
+    series = np.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    return series - (2 * x + 5) * (1 / t + 1 / (t + 4) + 1 / (t + 6))
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:
@@ -67,32 +66,46 @@ def starts(keys: np.ndarray, topics: int, seed: int) -> np.ndarray:
 
 
 def _shares(gamma: np.ndarray) -> np.ndarray:
-    return np.exp(digamma(gamma) - digamma(gamma.sum(axis=0)))
+    found = digamma(np.vstack([gamma, gamma.sum(axis=0)]))
+    return np.exp(found[:-1] - found[-1])
 
 
 def inferred(words: np.ndarray, values: np.ndarray, sizes: np.ndarray, gamma: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """Topics (topics x documents) of documents that are not empty.
 
     ``words`` are the topics' weights of each entry (topics x entries), ``values`` the entries' values and
-    ``sizes`` the entries of each document; ``gamma`` is the start. Each document stops on its own.
+    ``sizes`` the entries of each document; ``gamma`` is the start. Each document stops on its own. Documents
+    of like sizes are filled up to the largest one with entries of no value, and multiplied together.
     """
-    out, gamma, at = np.empty(gamma.shape), gamma.copy(), np.arange(len(sizes))
-    alpha, running = alpha[:, None], np.ones(len(sizes), dtype=bool)
+    out, first = np.empty(gamma.shape), np.cumsum(sizes) - sizes
+    by = np.argsort(sizes, kind="stable")
+    while len(by):
+        like = np.searchsorted(sizes[by], sizes[by[0]] * 1.25 + 4, side="right")
+        docs, by = by[:like], by[like:]
+        place = np.arange(sizes[docs[-1]])
+        inside = place < sizes[docs][:, None]
+        at = np.where(inside, first[docs][:, None] + place, 0)
+        filled = np.ascontiguousarray(words[:, at].transpose(1, 0, 2))
+        out[:, docs] = _converged(filled, np.where(inside, values[at], 0.0), gamma[:, docs], alpha[:, None])
+    return out
+
+
+def _converged(words: np.ndarray, values: np.ndarray, gamma: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Topics of documents with equally many entries; ``words`` is documents x topics x entries."""
+    out, gamma, at = np.empty(gamma.shape), gamma.copy(), np.arange(len(values))
+    running = np.ones(len(values), dtype=bool)
     while True:
-        owner, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
         while 2 * running.sum() > len(running):
             share = _shares(gamma)
-            ratio = values / ((words * share[:, owner]).sum(axis=0) + 1e-100)
-            new = share * np.add.reduceat(words * ratio, first, axis=1) + alpha
+            ratio = values / ((share.T[:, None] @ words)[:, 0] + 1e-100)
+            new = share * (words @ ratio[:, :, None])[:, :, 0].T + alpha
             change = np.abs(new - gamma).mean(axis=0)
             gamma[:, running] = new[:, running]
             running &= change > TOLERANCE
         out[:, at[~running]] = gamma[:, ~running]
         if not running.any():
             return out
-        kept = running[owner]
-        words, values = words[:, kept], values[kept]
-        sizes, gamma, at = sizes[running], gamma[:, running], at[running]
+        words, values, gamma, at = words[running], values[running], gamma[:, running], at[running]
         running = running[running]
 
 
@@ -115,6 +128,15 @@ def _coded(rows: pa.Table, links: pa.Table) -> tuple[np.ndarray, np.ndarray, np.
     return np.bincount(row, minlength=len(rows)), at, (raw / norm[row]).astype(np.float32)
 
 
+def _by_size(rows: pa.Table, sizes: np.ndarray, at: np.ndarray, values: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and their entries in order of their number of entries, so that a range has documents of like sizes."""
+    by = np.argsort(sizes, kind="stable")
+    lengths = sizes[by]
+    first, into = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
+    entry = np.arange(len(at)) + np.repeat(first[by] - into, lengths)
+    return rows.take(pa.array(by)), lengths, at[entry], values[entry]
+
+
 def _parts(sizes: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of rows of about ``PART_WORDS`` entries each."""
     if not len(sizes):
@@ -270,7 +292,7 @@ class Topics:
             known = known.sort_by("_range")
             sent = known["x"].is_valid()
             pieces, links = known.filter(sent), known.filter(known["words"].is_valid())
-            sizes, at, values = _coded(rows, links)
+            rows, sizes, at, values = _by_size(rows, *_coded(rows, links))
             keys, weights = rows["_place"].to_numpy(), _stacked(pieces, topics) * scale
             out, ends = np.zeros((len(rows), topics)), np.cumsum(sizes)
             for lo, hi in _parts(sizes):
@@ -376,7 +398,7 @@ class TopicModel:
 
         def code(rows: pa.Table, links: pa.Table) -> pa.Table:
             rows, links = rows.sort_by("_place"), links.sort_by("_range")
-            sizes, at, values = _coded(rows, links)
+            rows, sizes, at, values = _by_size(rows, *_coded(rows, links))
             keys, ends, out = rows["_place"].to_numpy(), np.cumsum(sizes), []
             for i, (lo, hi) in enumerate(_parts(sizes)):
                 full, part = np.flatnonzero(sizes[lo:hi]) + lo, slice(ends[lo] - sizes[lo], ends[hi - 1])

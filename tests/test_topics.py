@@ -106,3 +106,31 @@ def test_topics_need_no_vocabulary_on_the_driver(spark, monkeypatch, tmp_path, n
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(models, "DRIVER_TERMS", 10)
     assert QUERIES[name](spark, str(tmp_path)).count() >= least
+
+
+def test_documents_of_unlike_sizes_are_inferred_as_alone():
+    rng = np.random.default_rng(8)
+    sizes = np.array([1, 700, 3, 40, 45, 2, 260, 1, 44])
+    words, values = rng.gamma(2, 1, (4, sizes.sum())), rng.random(sizes.sum()).astype(np.float32)
+    start, alpha = rng.gamma(2, 1, (4, len(sizes))), np.array([0.2, 0.1, 0.4, 0.25])
+    found, ends = topics.inferred(words, values, sizes, start, alpha), np.cumsum(sizes)
+    for i, (lo, hi) in enumerate(zip(ends - sizes, ends)):
+        gamma = start[:, i]
+        while True:
+            share = np.exp(topics.digamma(gamma) - topics.digamma(gamma.sum()))
+            new = share * (words[:, lo:hi] @ (values[lo:hi] / (share @ words[:, lo:hi]))) + alpha
+            done, gamma = np.abs(new - gamma).mean() <= topics.TOLERANCE, new
+            if done:
+                break
+        assert np.allclose(found[:, i], gamma, rtol=1e-9)
+
+
+def test_ranges_hold_documents_of_like_sizes():
+    sizes = np.array([5, 1, 0, 9])
+    rows = topics.pa.table({"id": [0, 1, 2, 3]})
+    at, values = np.arange(15), np.arange(15) / 2
+    rows, lengths, at, values = topics._by_size(rows, sizes, at, values)
+    assert rows["id"].to_pylist() == [2, 1, 0, 3] and lengths.tolist() == [0, 1, 5, 9]
+    assert at.tolist() == [5, 0, 1, 2, 3, 4, *range(6, 15)] and (values == at / 2).all()
+    x = np.array([1e-9, 1e-3, 0.2, 5.0, 1e9])
+    assert np.allclose(topics.digamma(x + 1) - topics.digamma(x), 1 / x)
