@@ -25,6 +25,8 @@ from lexigrain.session import persisted
 
 #: Words of documents that are inferred together.
 PART_WORDS = 32_000
+#: Times the words that other blocks hold, as every block gets the weights of its words in each iteration.
+BLOCK_TIMES = 4
 #: Slows the first iterations down, and how fast later ones weigh less.
 DELAY, DECAY = 1024, 0.51
 #: Shape of the random starts, whose mean is 1.
@@ -218,13 +220,14 @@ class Topics:
     def _scale(self) -> np.ndarray:
         return np.exp(-digamma(np.maximum(self.sums, 1e-2)))
 
-    def next(self, coded: DataFrame, iteration: int) -> Topics:
-        """The model after one more iteration over all documents."""
+    def next(self, coded: str, iteration: int) -> Topics:
+        """The model after one more iteration over all documents, whose entries are stored by block in ``coded``."""
         topics, alpha, scale, seed = len(self.alpha), self.alpha, self._scale(), self.seed + iteration
         rate, eta = (DELAY + iteration) ** -DECAY, 1 / len(self.alpha)
 
-        def infer(parts: pa.Table, pieces: pa.Table) -> pa.Table:
-            pieces, parts = pieces.sort_by("_range"), parts.sort_by("_part")
+        def infer(pieces: pa.Table) -> pa.Table:
+            parts = word_blocks.stored_of(coded, pieces["_block"][0].as_py(), _CODED.remove(0)).sort_by("_part")
+            pieces = pieces.sort_by("_range")
             weights = _stacked(pieces, topics) * scale
             found, change, docs = [], np.zeros(topics), 0
             columns = [_binary(parts[c], kind) for c, kind in _KINDS.items()]
@@ -256,16 +259,15 @@ class Topics:
             new = (1 - rate) * weights + rate * (total + eta)
             return _table([(rows["_range"][0].as_py(), new.tobytes(), [*new.sum(axis=0), *sums])], _STATE)
 
-        rows = coded.repartitionById(self.blocks.n, F.col("_block")).groupBy("_block")
         sent = self._sent().repartitionById(self.blocks.n, F.col("_block")).groupBy("_block")
-        back = rows.cogroup(sent).applyInArrow(infer, PIECE).repartitionById(self.ranges, F.col("_range"))
+        back = sent.applyInArrow(infer, PIECE).repartitionById(self.ranges, F.col("_range"))
         state = persisted(self._by_range().groupBy("_range").cogroup(back.groupBy("_range")).applyInArrow(update, STATE), "topics")
         found = _sums(state, 2 * topics + 1)
         return replace(self, state=state, sums=found[:topics], alpha=_alpha(alpha, found[topics:-1], found[-1], rate))
 
     def on(self, df: DataFrame, tokens: str = "tokens", keep: Sequence[str] = ("doc_id",)) -> Topics:
         """The same model for the rows of ``df``, whose words that it does not know are left out."""
-        blocks = WordBlocks.deal(df, F.col(tokens), F.xxhash64(*keep, tokens), keep)
+        blocks = WordBlocks.deal(df, F.col(tokens), F.xxhash64(*keep, tokens), keep, times=BLOCK_TIMES)
         asked = blocks.words().select(_range("word", self.ranges), "_block", "word")
 
         def link(rows: pa.Table, known: pa.Table) -> pa.Table:
@@ -379,7 +381,7 @@ class TopicModel:
         as often as they occur.
         """
         topics, seed = self.topics, self.seed
-        blocks = WordBlocks.deal(df, F.col(tokens), F.xxhash64(*keep, tokens), keep)
+        blocks = WordBlocks.deal(df, F.col(tokens), F.xxhash64(*keep, tokens), keep, times=BLOCK_TIMES)
         used, docs = persisted(blocks.words(), "used"), blocks.rows.count()
         # a range holds texts, places and weights of its words
         ranges = word_blocks.buckets(df, used.count(), 8 * topics)
@@ -412,7 +414,8 @@ class TopicModel:
             x = starts(_hashed(words), topics, seed)
             return _table([(rows["_range"][0].as_py(), x.tobytes(), x.sum(axis=0).tolist())], _STATE)
 
-        coded = persisted(blocks.meet(linked.select("_block", "_range", "words", "idf"), code, CODED), "coded")
+        # read by the tasks of every iteration and never exchanged
+        coded = word_blocks.stored_by(blocks.meet(linked.select("_block", "_range", "words", "idf"), code, CODED), "_block", "coded")
         state = persisted(
             linked.select("_range", "words").repartitionById(ranges, F.col("_range")).groupBy("_range").applyInArrow(start, STATE), "topics"
         )

@@ -7,6 +7,7 @@ block, not once per document, and a group of equal documents is spread by its ke
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrain.session import persisted, shuffle_width
+from lexigrain.session import persisted, shared_path, shuffle_width
 
 #: Words of documents, repeats included, that a block holds.
 BLOCK_WORDS = 3_000_000
@@ -33,16 +34,17 @@ class WordBlocks:
     n: int
 
     @staticmethod
-    def deal(df: DataFrame, words: Column, by: Column, keep: Sequence[str] = (), least: int | None = None) -> WordBlocks:
+    def deal(df: DataFrame, words: Column, by: Column, keep: Sequence[str] = (), least: int | None = None, times: int = 1) -> WordBlocks:
         """Rows with equal ``by`` share a block; there are at least ``least`` blocks, one per core by default.
 
-        More blocks than cores are a multiple of them, so no core waits for a last few. Columns ``keep`` go with the rows. A null array is an empty one.
+        A block holds about ``times`` x ``BLOCK_WORDS`` words. More blocks than cores are a multiple of them, so no core
+        waits for a last few. Columns ``keep`` go with the rows. A null array is an empty one.
         """
         full = F.coalesce(words, F.array())
         stored = persisted(df.select(*keep, by.cast("bigint").alias("_place"), full.alias("_words")), "dealt")
         total = stored.agg(F.sum(F.size("_words"))).first()[0] or 0
         cores = df.sparkSession.sparkContext.defaultParallelism
-        n = max(cores if least is None else least, -(-total // BLOCK_WORDS), 1)
+        n = max(cores if least is None else least, -(-total // (times * BLOCK_WORDS)), 1)
         return WordBlocks(stored, -(-n // cores) * cores if n > max(cores, least or 0) else n)
 
     @property
@@ -63,6 +65,24 @@ class WordBlocks:
         return rows.groupBy("_block").cogroup(sent.groupBy("_block")).applyInArrow(work, schema)
 
 
+def stored_by(df: DataFrame, column: str, name: str) -> str:
+    """Write ``df`` once to the shared folder, a folder for each value of ``column``, for ``stored_of``."""
+    path = shared_path(df.sparkSession, name)
+    df.withColumnRenamed(column, "part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def stored_of(path: str, part: int, schema: pa.Schema) -> pa.Table:
+    """The rows of one value, read inside a task through the file systems that Arrow knows."""
+    from pyarrow import fs, parquet
+
+    system, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+    found = system.get_file_info(fs.FileSelector(f"{place}/part={part}", allow_not_found=True))
+    files = sorted(f.path for f in found if f.base_name.endswith(".parquet"))
+    tables = [parquet.ParquetFile(f, filesystem=system).read(schema.names) for f in files]
+    return pa.concat_tables([t.cast(schema) for t in tables]) if tables else schema.empty_table()
+
+
 def flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     """The values of an array column without nulls, one after the other, and where each row begins."""
     joined = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)

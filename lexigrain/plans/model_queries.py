@@ -159,7 +159,8 @@ def e11_component_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, folder: str) -> Topics:
-    docs = _texts(spark, folder, "lang").select(
+    # documents are dealt out to blocks, so they are not exchanged by id before
+    docs = widen(read_table(spark, folder, "documents").select("doc_id", "text", "lang")).select(
         "doc_id", "lang", text.long_words(F.col("text"), text.ENGLISH_STOP_WORDS).alias("tokens")
     )
     return models.topic_model().fit(docs, "tokens", ["doc_id", "lang"])

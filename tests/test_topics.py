@@ -134,3 +134,19 @@ def test_ranges_hold_documents_of_like_sizes():
     assert at.tolist() == [5, 0, 1, 2, 3, 4, *range(6, 15)] and (values == at / 2).all()
     x = np.array([1e-9, 1e-3, 0.2, 5.0, 1e9])
     assert np.allclose(topics.digamma(x + 1) - topics.digamma(x), 1 / x)
+
+
+def test_documents_are_not_exchanged_in_iterations(spark, monkeypatch):
+    monkeypatch.setattr(word_blocks, "BLOCK_WORDS", 100)
+    moved, deal = [], topics.Topics.next
+
+    def watched(self, coded, iteration):
+        assert isinstance(coded, str)
+        moved.append(coded)
+        return deal(self, coded, iteration)
+
+    monkeypatch.setattr(topics.Topics, "next", watched)
+    found = models.topic_model(3, 1, 2).fit(frame(spark, corpus()))
+    assert len(moved) == 2 and len(set(moved)) == 1 and found.distributions().count() == 90
+    sizes = [len(word_blocks.stored_of(moved[0], b, topics._CODED.remove(0))) for b in range(found.blocks.n)]
+    assert sum(sizes) >= sum(n > 0 for n in sizes) > 1

@@ -186,3 +186,13 @@ def test_trained_vectors_travel_in_single_precision(spark):
     table = spark.createDataFrame([("a", Vectors.dense([0.5, 0.1])), ("b", Vectors.dense([0.25, 2.0]))], ["word", "vector"])
     found, one = models.mean_vectors(rows, F.col("tokens"), table, 2, kind="float32"), float(np.float32(0.1))
     assert {r.doc_id: r.mean for r in found.collect()} == {1: [0.375, (one + 2.0) / 2], 2: [0.5, one], 3: [0.0, 0.0]}
+
+
+def test_stored_parts_are_read_in_tasks(spark):
+    rows = [(i % 3, str(i), bytes([i])) for i in range(9)]
+    path = word_blocks.stored_by(spark.createDataFrame(rows, "_block int, a string, b binary").repartition(2), "_block", "parts")
+    schema = word_blocks.pa.schema([("b", word_blocks.pa.binary()), ("a", word_blocks.pa.string())])
+    for place in (path, f"file:{path}", f"file://{path}"):
+        found = [word_blocks.stored_of(place, part, schema) for part in range(4)]
+        assert [sorted(t["a"].to_pylist()) for t in found] == [[str(i) for i in range(9) if i % 3 == p] for p in range(3)] + [[]]
+        assert all(t.schema == schema for t in found)
