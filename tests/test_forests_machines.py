@@ -5,6 +5,8 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lexigrain.operators import bayes, machines, models, splits, subtrees, trees
@@ -233,3 +235,15 @@ def test_model_queries_one_after_the_other_in_one_session(spark):
         assert isinstance(QUERIES[name](spark, folder).toPandas(), pd.DataFrame)
     kept = splits.bootstrap(spark.range(5).withColumnRenamed("id", "row_id"), "row_id", 2, 1)
     assert kept.agg(F.sum("w")).first()[0] == 10
+
+
+def test_models_of_two_classes_are_judged_after_an_observation(spark):
+    observed = Observation()
+    spark.range(3).observe(observed, F.count(F.lit(1)).alias("n")).collect()
+    assert observed.get == {"n": 3}
+    rows = [(Vectors.dense([float(i % 2), 1.0 + i % 3]), float(i % 2), i % 2) for i in range(40)]
+    df = persisted(spark.createDataFrame(rows, ["features", "label", "fold"]).select("features", "label", F.floor(F.rand(1) * 2).alias("fold")), "rows")
+    chosen = {"forest": models.random_forest(3, 2), "machine": models.binary_svm(), "bayes": models.naive_bayes()}
+    scores = {r.model_name: r.accuracy for r in models.compare(df, df, chosen).collect()}
+    assert scores["forest"] == scores["machine"] == 1.0 and len(scores) == 3
+    assert models.cross_validate(df, chosen, folds=2).count() == 6
